@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from millrace.operators import overdraft
 from millrace.operators.merge import update_columns
 from millrace.operators.ordered import CHUNK, CHUNK_ROWS, chunk_rows, previous_value, running_sum
-from millrace.operators.overdraft import MIN_CREDIT_CENTS, ORDER
+from millrace.operators.overdraft import MIN_CREDIT_CENTS
 from millrace.schemas import DEPOSIT_ACCOUNT_TYPES, MONEY, OUTGOING_TYPES
 from millrace.session import cut_lineage
 
+ORDER = ["txn_ts", "txn_id"]
+
 # The rule travels with the task, so workers need no copy of this package.
 register_pickle_by_value(overdraft)
 
@@ -71,15 +73,34 @@ def balance_breaks(txns: DataFrame, accounts: DataFrame, max_rows: int = CHUNK_R
 
 # -- replay with the overdraft rule -----------------------------------------
 
-_REPLAY = (
-    "account_id long, txn_id long, txn_ts timestamp_ntz, txn_type string, "
-    "amount decimal(18,2), balance_after decimal(18,2), accepted boolean"
+_BOOKED = (
+    "account_id long, chunk int, txn_id long, txn_ts timestamp_ntz, txn_type string, opening long, "
+    "booked long, after long, accepted boolean"
 )
 _TRIED = "account_id long, chunk int, opening long, closing long"
 _OPENINGS = "account_id long, chunk int, opening long, work boolean"
 _ALWAYS = -(1 << 62)
 
 
+def _booked(rows: DataFrame) -> DataFrame:
+    """Walk every (account, chunk) from its opening balance, in cents."""
+    key = ["account_id", "chunk"]
+    ready = rows.select(*key, *ORDER, "txn_type", "cents", "outgoing", "deposit", "opening")
+    sorted_rows = ready.repartition(*key).sortWithinPartitions(*key, *ORDER)
+    return sorted_rows.mapInPandas(overdraft.replay_sorted, _BOOKED)
+
+
+def _in_money(booked: DataFrame) -> DataFrame:
+    def money(c: str):
+        return (F.col(c) / 100).cast(MONEY)
+
+    return booked.select(
+        "account_id", "txn_id", "txn_ts", "txn_type",
+        F.when(F.col("accepted"), money("booked")).alias("amount"),
+        money("after").alias("balance_after"), "accepted",
+    )
+
+
 def _chunk_summaries(rows: DataFrame) -> DataFrame:
     """Per (account, chunk): the total, and the least opening balance from which
     every row books in full, so that the chunk merely adds its total."""
@@ -129,8 +150,7 @@ def replay(accounts: DataFrame, txns: DataFrame, max_rows: int = CHUNK_ROWS) ->
     chunked = chunked.withColumnRenamed(CHUNK, "chunk")
     key = ["account_id", "chunk"]
     if chunks == 1:
-        ready = chunked.withColumnRenamed("start", "opening")
-        return ready.groupBy("account_id").applyInPandas(overdraft.replay_chunk, _REPLAY)
+        return _in_money(_booked(chunked.withColumnRenamed("start", "opening")))
 
     summaries = cut_lineage(_chunk_summaries(chunked))
     done = accounts.sparkSession.createDataFrame([], _TRIED)
@@ -140,7 +160,8 @@ def replay(accounts: DataFrame, txns: DataFrame, max_rows: int = CHUNK_ROWS) ->
         work = openings.where("work").select(*key, "opening")
         if work.isEmpty():
             break
-        tried = chunked.join(work, key).groupBy(*key).applyInPandas(overdraft.close_chunk, _TRIED)
+        tried = _booked(chunked.join(work, key)).groupBy(*key, "opening").agg(
+            F.max_by("after", F.struct(*ORDER)).alias("closing")
+        )
         done = cut_lineage(done.join(work, key, "left_anti").unionByName(tried))
-    ready = chunked.join(openings.select(*key, "opening"), key)
-    return ready.groupBy(*key).applyInPandas(overdraft.replay_chunk, _REPLAY)
+    return _in_money(_booked(chunked.join(openings.select(*key, "opening"), key)))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.changes import fold_changes, with_birth
@@ -142,7 +142,12 @@ def apply_merge(
     born = unmatched(target, folded, keys, small)
     if rule.id_column:
         start = last_id if last_id is not None else highest_id(target, rule.id_column)
-        born = number_rows(born, ["born", *keys], "_id", start, max_rows)
+        if small:
+            # At most BROADCAST_ROWS rows: one task may number them.
+            number = F.row_number().over(Window.orderBy("born", *keys))
+            born = born.withColumn("_id", number + F.lit(start).cast("long"))
+        else:
+            born = number_rows(born, ["born", *keys], "_id", start, max_rows)
     inserted = born.select(*[fresh_row(c) for c in target.columns])
     return kept.unionByName(inserted)
 
@@ -196,12 +201,16 @@ def highest_id(target: DataFrame, id_column: str) -> int:
     return target.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("long")).first()[0]
 
 
-def merge_outcomes(target: DataFrame, folded: DataFrame, keys: list[str]) -> DataFrame:
+def merge_outcomes(target: DataFrame, folded: DataFrame, keys: list[str], small: bool = False) -> DataFrame:
     """One row: changes folded, target rows updated and deleted, rows inserted.
 
     Taken from the join itself: an update counts as matched, an insert never does.
+    ``small`` vouches for the folded rows as in ``apply_merge``.
     """
-    hits = target.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    touched = target.select(*keys)
+    if small:
+        touched = touched.join(F.broadcast(folded.select(*keys)), list(keys), "left_semi")
+    hits = touched.groupBy(*keys).agg(F.count("*").alias("_rows"))
     rows = F.coalesce("_rows", F.lit(0))
     return folded.join(hits, list(keys), "left").agg(
         F.coalesce(F.sum("changes"), F.lit(0)).alias("changes"),

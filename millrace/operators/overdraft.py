@@ -1,15 +1,14 @@
-"""The overdraft rule in whole cents, and its walk along one bounded chunk.
+"""The overdraft rule in whole cents, and its walk along sorted rows.
 
-``ledger.replay`` runs these inside grouped tasks.
+``ledger.replay`` runs these inside tasks that hold bounded chunks of accounts.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
+from typing import Iterator
 
 import pandas as pd
 
-ORDER = ["txn_ts", "txn_id"]
 # Least balance that money in must reach, and the share of the
 # balance (one part in twenty) that a partial debit leaves.
 MIN_CREDIT_CENTS = 100
@@ -34,33 +33,25 @@ def step(balance: int, amount: int, outgoing: bool, deposit: bool) -> tuple[int,
     return new, new - balance, True
 
 
-def walk(rows: pd.DataFrame, balance: int) -> tuple[list[int], list[int], list[bool]]:
-    booked, after, accepted = [], [], []
-    for cents, outgoing, deposit in zip(rows["cents"], rows["outgoing"], rows["deposit"]):
-        balance, moved, ok = step(balance, int(cents), bool(outgoing), bool(deposit))
-        booked.append(moved)
-        after.append(balance)
-        accepted.append(ok)
-    return booked, after, accepted
+def replay_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walk rows sorted by group and order; the state is one balance.
 
-
-def replay_chunk(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(ORDER)
-    booked, after, accepted = walk(rows, int(rows["opening"].iloc[0]))
-    out = rows[["account_id", "txn_id", "txn_ts", "txn_type"]].copy()
-    out["amount"] = [Decimal(v).scaleb(-2) if ok else None for v, ok in zip(booked, accepted)]
-    out["balance_after"] = [Decimal(v).scaleb(-2) for v in after]
-    out["accepted"] = accepted
-    return out
-
-
-def close_chunk(rows: pd.DataFrame) -> pd.DataFrame:
-    """Only the closing balance of a chunk for the opening it was given."""
-    rows = rows.sort_values(ORDER)
-    opening = int(rows["opening"].iloc[0])
-    closing = walk(rows, opening)[1][-1]
-    head = rows[["account_id", "chunk"]].head(1)
-    return head.assign(opening=opening, closing=closing)
+    A group may begin in one batch and go on in the next.
+    """
+    group, balance = None, 0
+    for rows in batches:
+        booked, after, accepted = [], [], []
+        columns = (rows[c].tolist() for c in ("account_id", "chunk", "opening", "cents", "outgoing", "deposit"))
+        for account, chunk, opening, cents, outgoing, deposit in zip(*columns):
+            if (account, chunk) != group:
+                group, balance = (account, chunk), opening
+            balance, moved, ok = step(balance, cents, outgoing, deposit)
+            booked.append(moved)
+            after.append(balance)
+            accepted.append(ok)
+        yield rows[["account_id", "chunk", "txn_id", "txn_ts", "txn_type", "opening"]].assign(
+            booked=booked, after=after, accepted=accepted
+        )
 
 
 def propagate(chunks: pd.DataFrame) -> pd.DataFrame:

@@ -15,7 +15,7 @@ from millrace.functions import ms_precision
 from millrace.operators.ordered import running_sum
 from millrace.schemas import MEMBER_ATTRIBUTES, MONEY
 from millrace.session import use_utc
-from millrace.sources.envelope import normalise_polled, route
+from millrace.sources.envelope import computed_once, normalise_polled, route
 
 START = "2024-01-01 00:00:00"
 # Fixed write times of the merge examples.
@@ -88,17 +88,17 @@ class Bank:
             _plus_seconds(key + key % 5).alias("updated_at"),
         )
 
-    def ledger(self, balance: bool = False) -> DataFrame:
+    def ledger(self, balance: bool = False, arrival: bool = True) -> DataFrame:
         """Source transactions; ``ingest_ts`` is null where a row has not arrived."""
         kind = F.col("event_type")
         txn_type = (
             F.when(kind == "purchase", "DEBIT").when(kind == "signup", "DEPOSIT")
             .when(kind == "view", "TRANSFER_IN").when(kind == "click", "FEE").otherwise("WITHDRAWAL")
         )
-        late = F.get_json_object("props", "$.k").cast("int") * 97
         ts = ms_precision("ts")
         ingest = F.expr("timestampadd(MILLISECOND, _late, txn_ts)").cast("timestamp_ntz")
-        rows = self.events.select(
+        rows = computed_once(self.events, "k", F.from_json("props", "k int")["k"]) if arrival else self.events
+        rows = rows.select(
             F.col("event_id").alias("txn_id"),
             (F.col("user_id") + 1000).alias("account_id"),
             txn_type.alias("txn_type"),
@@ -106,13 +106,13 @@ class Bank:
             F.concat(F.lit("Merchant"), (F.col("event_id") % 29).cast("string")).alias("merchant"),
             ts.alias("txn_ts"),
             ts.alias("source_write_ts"),
-            late.alias("_late"),
-        ).withColumns({
-            "ingest_ts": F.when(F.col("txn_id") % 17 != 0, ingest),
-            "description": F.concat("txn_type", F.lit(" #"), F.col("txn_id").cast("string")),
-        }).drop("_late")
+            *([(F.col("k") * 97).alias("_late")] if arrival else []),
+        ).withColumn("description", F.concat("txn_type", F.lit(" #"), F.col("txn_id").cast("string")))
         columns = ["txn_id", "account_id", "txn_type", "amount", "description", "merchant"]
-        tail = ["txn_ts", "source_write_ts", "ingest_ts"]
+        tail = ["txn_ts", "source_write_ts"]
+        if arrival:
+            rows = rows.withColumn("ingest_ts", F.when(F.col("txn_id") % 17 != 0, ingest)).drop("_late")
+            tail.append("ingest_ts")
         if not balance:
             return rows.select(*columns, *tail)
         # Order by id: times are unique and ascending with it.
@@ -123,7 +123,7 @@ class Bank:
         )
 
     def transactions(self, balance: bool = False) -> DataFrame:
-        return self.ledger(balance).drop("ingest_ts")
+        return self.ledger(balance, arrival=False)
 
     def landing(self, balance: bool = False) -> DataFrame:
         return self.ledger(balance).where(F.col("ingest_ts").isNotNull())
@@ -133,7 +133,7 @@ class Bank:
         kind, user = F.col("event_type"), F.col("user_id")
         k = F.col("_k")
         moved = kind.isin("signup", "purchase")
-        return self.events.withColumn("_k", F.get_json_object("props", "$.k").cast("int")).select(
+        return self.events.withColumn("_k", F.from_json("props", "k int")["k"]).select(
             F.col("event_id").alias("update_id"),
             F.when(k == 50, "").otherwise(_digits(user * 61 % 10000, 4)).alias("ssn_last4"),
             F.concat(F.lit("Name"), (user % 50).cast("string")).alias("last_name"),
@@ -198,9 +198,8 @@ class Bank:
         op = F.col("op")
         if op_field == "operation":
             op = F.when(op == "d", "delete").when(op == "u", "update").otherwise("insert")
-        return self._images().select(
-            "update_id", F.to_json(F.struct(op.alias(op_field), "before", "after", "source")).alias("value")
-        )
+        text = F.to_json(F.struct(op.alias(op_field), "before", "after", "source"))
+        return computed_once(self._images(), "value", text).select("update_id", "value")
 
     def batch_log(self) -> DataFrame:
         """Fifty events make a batch; its path and outcome come from its rows."""
@@ -212,7 +211,7 @@ class Bank:
             .agg(
                 F.max("ts").alias("finished_ts"),
                 F.count("*").alias("rows"),
-                F.sum(F.get_json_object("props", "$.k").cast("long")).alias("duration_ms"),
+                F.sum(F.from_json("props", "k long")["k"]).alias("duration_ms"),
                 F.count_if(kind == "view").alias("matched"),
                 F.count_if(kind == "signup").alias("inserted"),
                 F.count_if((kind == "error") & (F.col("value") > 100)).alias("errors"),

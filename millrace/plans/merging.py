@@ -34,7 +34,8 @@ def _new_changes(bank: Bank) -> DataFrame:
 def members_before(bank: Bank) -> DataFrame:
     """Golden records built from the first half of the changes."""
     rule = member_rule(at(BEFORE_TS))
-    live = rule.fold(_old_changes(bank), _ORDER).where("live")
+    # Numbering counts its rows first; the fold is cut off so that it runs once.
+    live = cut_lineage(rule.fold(_old_changes(bank), _ORDER).where("live"))
     return number_rows(live, ["born"], "member_id").select(
         "member_id", *_KEYS, *MEMBER_ATTRIBUTES,
         F.lit("EXTERNAL").alias("source_system"), at(BEFORE_TS).alias("updated_at"), "source_updated_at",
@@ -63,7 +64,7 @@ def merge_outcome_counts(bank: Bank) -> DataFrame:
 
 def _merged_members(bank: Bank, tag: str, carry_source_ts: bool) -> DataFrame:
     rule = member_rule(at(BATCH_TS), tag, carry_source_ts)
-    target = cut_lineage(members_before(bank))
+    target = members_before(bank)
     folded = cut_lineage(rule.fold(_new_changes(bank), _ORDER))
     return apply_merge(target, folded, rule)
 

@@ -59,10 +59,19 @@ def json_object(value) -> Column:
     return F.when(F.startswith(F.ltrim(value), F.lit('"')), inner).otherwise(value)
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column so that filters on it do not evaluate it a second time.
+
+    Spark moves filters below a projection by copying its expressions; it does
+    not move them below an explode.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def read_events(df: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
     """Parse to a struct column ``e``; bad JSON sets ``e._corrupt`` and goes on."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    return drop_tombstones(df, value).withColumn("e", F.from_json(json_object(value), schema, options))
+    return computed_once(drop_tombstones(df, value), "e", F.from_json(json_object(value), schema, options))
 
 
 def split_corrupt(events: DataFrame) -> tuple[DataFrame, DataFrame]:
