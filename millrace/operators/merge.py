@@ -41,11 +41,15 @@ class MergeRule:
     unique: bool = False
 
     def fold(self, changes: DataFrame, order: list[str]) -> DataFrame:
-        folded = fold_changes(
+        """One row per key; with a surrogate key also ``born``, the order of new rows."""
+        folded = self.fold_only(changes, order)
+        return with_birth(folded, changes, list(self.keys), order) if self.id_column else folded
+
+    def fold_only(self, changes: DataFrame, order: list[str]) -> DataFrame:
+        return fold_changes(
             changes, list(self.keys), order,
             merged=list(self.merged), replaced=[*self.replaced, *self.on_insert],
         )
-        return with_birth(folded, changes, list(self.keys), order) if self.id_column else folded
 
 
 def account_rule(batch_ts: Column) -> MergeRule:
@@ -95,8 +99,8 @@ def apply_merge(
 ) -> DataFrame:
     """The target after the folded changes.
 
-    ``folded`` is read several times; pass it persisted or checkpointed. A small
-    one (counted, or vouched for by ``small``) is broadcast and the target is not
+    ``folded`` is read several times; pass it persisted or checkpointed, with its
+    ``hits`` from ``resolve`` if they are known. A small one (counted, or vouched for by ``small``) is broadcast and the target is not
     shuffled at all. Beyond that, unique keys meet in one full outer join; other
     keys use a left join, whose skewed parts Spark splits at run time.
     """
@@ -105,6 +109,7 @@ def apply_merge(
         small = _is_small(folded, BROADCAST_ROWS)
     if rule.unique and not small and not rule.id_column:
         return _merge_unique(target, folded, rule)
+    folded = folded if "hits" in folded.columns else resolve(target, folded, keys, small)
     hint = F.broadcast if small else (lambda df: df)
     changed = [*rule.merged, *rule.replaced]
     effect = folded.select(
@@ -139,7 +144,7 @@ def apply_merge(
     matched = target.join(hint(effect), keys, "left")
     kept = matched.where(~F.coalesce("_wiped", F.lit(False))).select(*[new_value(c) for c in target.columns])
 
-    born = unmatched(target, folded, keys, small)
+    born = folded.where("live and (wiped or hits = 0)")
     if rule.id_column:
         start = last_id if last_id is not None else highest_id(target, rule.id_column)
         if small:
@@ -182,41 +187,37 @@ def _merge_unique(target: DataFrame, folded: DataFrame, rule: MergeRule) -> Data
     return both.where(stays).select(*[value(c) for c in target.columns])
 
 
-def unmatched(target: DataFrame, folded: DataFrame, keys: list[str], small: bool) -> DataFrame:
-    """Live folded rows that need a new target row: no match, or the match was wiped.
+def resolve(target: DataFrame, folded: DataFrame, keys: list[str], small: bool = False) -> DataFrame:
+    """Folded rows with ``hits``, the number of target rows of their key.
 
-    The target side is reduced to its distinct touched keys before the anti join.
+    The target side is counted per key before the join, so a key that repeats
+    often in the target is one row there.
     """
-    wanted = folded.where("live")
     touched = target.select(*keys)
     if small:
-        touched = touched.join(F.broadcast(wanted.where("not wiped").select(*keys)), keys, "left_semi")
-    touched = touched.distinct()
-    again = wanted.where("wiped")
-    fresh = wanted.where("not wiped").join(touched, keys, "left_anti")
-    return fresh.unionByName(again)
+        touched = touched.join(F.broadcast(folded.select(*keys)), list(keys), "left_semi")
+    counted = touched.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    return (
+        folded.join(counted, list(keys), "left")
+        .withColumn("hits", F.coalesce("_rows", F.lit(0).cast("long")))
+        .drop("_rows")
+    )
 
 
 def highest_id(target: DataFrame, id_column: str) -> int:
     return target.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("long")).first()[0]
 
 
-def merge_outcomes(target: DataFrame, folded: DataFrame, keys: list[str], small: bool = False) -> DataFrame:
+def merge_outcomes(resolved: DataFrame) -> DataFrame:
     """One row: changes folded, target rows updated and deleted, rows inserted.
 
     Taken from the join itself: an update counts as matched, an insert never does.
-    ``small`` vouches for the folded rows as in ``apply_merge``.
     """
-    touched = target.select(*keys)
-    if small:
-        touched = touched.join(F.broadcast(folded.select(*keys)), list(keys), "left_semi")
-    hits = touched.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    rows = F.coalesce("_rows", F.lit(0))
-    return folded.join(hits, list(keys), "left").agg(
+    return resolved.agg(
         F.coalesce(F.sum("changes"), F.lit(0)).alias("changes"),
-        F.coalesce(F.sum(F.when(~F.col("wiped"), rows)), F.lit(0)).alias("matched"),
-        F.count(F.when(F.col("live") & (F.col("wiped") | (rows == 0)), 1)).alias("inserted"),
-        F.coalesce(F.sum(F.when(F.col("wiped"), rows)), F.lit(0)).alias("deleted"),
+        F.coalesce(F.sum(F.when(~F.col("wiped"), F.col("hits"))), F.lit(0)).alias("matched"),
+        F.count_if(F.expr("live and (wiped or hits = 0)")).alias("inserted"),
+        F.coalesce(F.sum(F.when(F.col("wiped"), F.col("hits"))), F.lit(0)).alias("deleted"),
     )
 
 

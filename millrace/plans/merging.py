@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from millrace.operators import ledger
 from millrace.operators.changes import fold_changes, net_changes
 from millrace.operators.merge import (
-    account_rule, apply_merge, customer_rule, delete_keys, member_rule, merge_outcomes, update_columns,
-    upper_columns, with_defaults,
+    account_rule, apply_merge, customer_rule, delete_keys, member_rule, merge_outcomes, resolve,
+    update_columns, upper_columns, with_defaults,
 )
 from millrace.operators.ordered import newest_per_key, number_rows
 from millrace.plans.fixtures import BATCH_TS, BEFORE_TS, Bank, at
@@ -58,8 +58,8 @@ def fold_members(bank: Bank) -> DataFrame:
     cast(sum(case when f.wiped and m.member_id is not null then 1 else 0 end) as bigint) as deleted
     from new_fold f left join members m on m.ssn_last4=f.ssn_last4 and m.last_name=f.last_name""", MEMBER_TABLES)
 def merge_outcome_counts(bank: Bank) -> DataFrame:
-    folded = member_rule(at(BATCH_TS)).fold(_new_changes(bank), _ORDER)
-    return merge_outcomes(members_before(bank), folded, _KEYS)
+    folded = member_rule(at(BATCH_TS)).fold_only(_new_changes(bank), _ORDER)
+    return merge_outcomes(resolve(members_before(bank), folded, _KEYS))
 
 
 def _merged_members(bank: Bank, tag: str, carry_source_ts: bool) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.changes import drop_stale, fold_changes
 from millrace.operators.merge import (
-    account_rule, apply_merge, customer_rule, delete_keys, member_rule, merge_outcomes, update_columns,
+    account_rule, apply_merge, customer_rule, delete_keys, member_rule, merge_outcomes, resolve, update_columns,
 )
 from millrace.schemas import ACCOUNTS, MEMBERS
 from tests.models import ATTRIBUTES, apply_one_by_one
@@ -18,6 +18,7 @@ CHANGE = (
 )
 T0 = datetime(2024, 1, 1)
 
+
 def stamp():
     return F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
 
@@ -82,7 +83,7 @@ def test_fold_and_merge_equal_one_by_one(spark, seed, small):
     new_want = sorted((r for r in want if r["member_id"] > 8), key=lambda r: r["member_id"])
     assert [(r["ssn_last4"], r["last_name"]) for r in new_got] == [(r["ssn_last4"], r["last_name"]) for r in new_want]
     assert [r["member_id"] for r in new_got] == list(range(9, 9 + len(new_got)))
-    counted = merge_outcomes(target_df, folded, list(rule.keys), small).first()
+    counted = merge_outcomes(resolve(target_df, folded, list(rule.keys), small)).first()
     assert counted["changes"] == sum(c["action"] != "skip" for c in changes)
     assert counted["inserted"] == len(new_got)
     assert len(target) - counted["deleted"] + counted["inserted"] == len(got)
