@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.ordered import salted_lookup
+
 UPSERT, DELETE, SKIP = "upsert", "delete", "skip"
-_SALTS = 32
 
 
 def _order(order: list[str]) -> Column:
@@ -83,16 +84,10 @@ def with_birth(
     That look is salted, so a busy key is read by many tasks.
     """
     at = _order(list(order))
-    reborn = (
-        folded.where("wiped and live")
-        .select(*keys, F.col("last_delete").alias("_cut"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    )
-    salt = F.pmod(F.xxhash64(at), F.lit(_SALTS)).cast("int")
+    reborn = folded.where("wiped and live").select(*keys, F.col("last_delete").alias("_cut"))
+    upserts = changes.where(F.col(action) == UPSERT).select(*keys, at.alias("_at"))
     births = (
-        changes.where(F.col(action) == UPSERT)
-        .select(*keys, at.alias("_at"), salt.alias("_salt"))
-        .join(reborn, [*keys, "_salt"])
+        salted_lookup(upserts, reborn, list(keys), F.col("_at"))
         .where(F.col("_at") > F.col("_cut"))
         .groupBy(*keys)
         .agg(F.min("_at").alias("_born"))
@@ -112,7 +107,7 @@ def drop_stale(changes: DataFrame, keys: list[str], target: DataFrame, ts: str,
     """
     newest = target.groupBy(*keys).agg(F.max(target_ts).alias("_seen"))
     return (
-        changes.join(newest, list(keys), "left")
+        salted_lookup(changes, newest, list(keys), F.struct(*changes.columns), "left")
         .where(F.col("_seen").isNull() | F.col(ts).isNull() | (F.col(ts) >= F.col("_seen")))
         .drop("_seen")
     )

@@ -23,15 +23,13 @@ def running_balance(
     txns: DataFrame, accounts: DataFrame | None = None, out: str = "running_balance", max_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Sum of amounts per account in order, on top of an opening balance if given."""
-    summed = running_sum(txns, ["account_id"], ORDER, F.col("amount"), out, max_rows)
+    size = txns.count()
     if accounts is None:
-        return summed
+        return running_sum(txns, ["account_id"], ORDER, F.col("amount"), out, max_rows, size)
+    # Joined first: the ranges made next spread a busy account again.
     opening = accounts.select("account_id", F.col("balance").alias("_opening"))
-    return (
-        summed.join(opening, "account_id")
-        .withColumn(out, (F.col(out) + F.col("_opening")).cast(MONEY))
-        .drop("_opening")
-    )
+    summed = running_sum(txns.join(opening, "account_id"), ["account_id"], ORDER, F.col("amount"), out, max_rows, size)
+    return summed.withColumn(out, (F.col(out) + F.col("_opening")).cast(MONEY)).drop("_opening")
 
 
 def last_balances(txns: DataFrame) -> DataFrame:
@@ -139,13 +137,13 @@ def replay(accounts: DataFrame, txns: DataFrame, max_rows: int = CHUNK_ROWS) ->
         (F.col("balance") * 100).cast("long").alias("start"),
         F.col("account_type").isin(*DEPOSIT_ACCOUNT_TYPES).alias("deposit"),
     )
+    # Joined before chunking: a join on the account alone would bring a busy
+    # account's chunks back into one task.
     rows = txns.select(
         "account_id", "txn_id", "txn_ts", "txn_type",
         (F.col("amount") * 100).cast("long").alias("cents"),
         F.col("txn_type").isin(*OUTGOING_TYPES).alias("outgoing"),
     ).join(opening, "account_id")
-    # Joined before chunking: a join on the account alone would bring a busy
-    # account's chunks back into one task.
     chunked, chunks = chunk_rows(rows, ["account_id"], ORDER, max_rows)
     chunked = chunked.withColumnRenamed(CHUNK, "chunk")
     key = ["account_id", "chunk"]

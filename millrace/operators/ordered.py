@@ -20,15 +20,16 @@ _BROADCAST_CHUNKS = 50_000
 
 
 def chunk_rows(
-    df: DataFrame, keys: list[str], order: list[str], max_rows: int = CHUNK_ROWS
+    df: DataFrame, keys: list[str], order: list[str], max_rows: int = CHUNK_ROWS, size: int | None = None
 ) -> tuple[DataFrame, int]:
     """Number range chunks over (keys, order); returns the frame and chunk count.
 
     ``order`` must be unique within a key. Chunk ids grow with the order, and a
     chunk holds about ``max_rows`` rows. The chunked frame is checkpointed, so
-    every later use sees the same ids even after a task is run again.
+    every later use sees the same ids even after a task is run again. ``size`` is
+    the row count where the caller can tell it more cheaply.
     """
-    chunks = math.ceil(df.count() / max_rows)
+    chunks = math.ceil((df.count() if size is None else size) / max_rows)
     if chunks <= 1:
         return df.withColumn(CHUNK, F.lit(0)), 1
     ranged = df.repartitionByRange(chunks, *keys, *order)
@@ -53,9 +54,10 @@ def running_sum(
     value: Column,
     out: str,
     max_rows: int = CHUNK_ROWS,
+    size: int | None = None,
 ) -> DataFrame:
     """Sum of ``value`` from a key's first row up to and including each row."""
-    chunked, chunks = chunk_rows(df.withColumn("_v", value), keys, order, max_rows)
+    chunked, chunks = chunk_rows(df.withColumn("_v", value), keys, order, max_rows, size)
     within = (
         Window.partitionBy(*keys, CHUNK)
         .orderBy(*order)
@@ -156,3 +158,16 @@ def newest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     rest = [c for c in df.columns if c not in (*keys, *order)]
     best = df.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_best"))
     return best.select(*keys, *[F.col("_best")[c].alias(c) for c in (*order, *rest)]).select(*df.columns)
+
+
+def salted_lookup(
+    df: DataFrame, lookup: DataFrame, keys: list[str], spread_by: Column, how: str = "inner", salts: int = 32
+) -> DataFrame:
+    """Join rows with a lookup of one row per key, a busy key over many tasks.
+
+    Meant for joins whose result is grouped by the same keys: there Spark keeps
+    the join's partitioning and does not split a skewed part by itself.
+    """
+    wide = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    return salted.join(wide, [*keys, "_salt"], how).drop("_salt")

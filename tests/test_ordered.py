@@ -120,3 +120,21 @@ def test_balance_breaks_across_chunks(spark):
     for size in (1000, 8):
         got = sorted((r.kind, r.txn_id) for r in ledger.balance_breaks(t, a, max_rows=size).collect())
         assert got == [("end", 49), ("step", 30), ("step", 31)]
+
+
+def test_streamed_replay_equals_batch(spark, tmp_path):
+    from millrace.sources.feeds import table_stream
+    from millrace.streaming.balances import replay_stream
+    from millrace.streaming.merges import append_stream, finish
+
+    accounts, txns = replay_case(8, 120)
+    a = spark.createDataFrame(accounts, "account_id long, account_type string, balance decimal(18,2)")
+    t = spark.createDataFrame(txns, "txn_id long, account_id long, txn_ts timestamp_ntz, txn_type string, amount decimal(18,2)")
+    for low in (0, 50):
+        part = t.where((F.col("txn_id") >= low) & (F.col("txn_id") < (50 if low == 0 else 999)))
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = replay_stream(a, table_stream(spark, str(tmp_path / "in"), t.schema, None))
+        finish(append_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), interval=None))
+    want = {r.txn_id: (r.amount, r.balance_after, r.accepted) for r in ledger.replay(a, t).collect()}
+    got = {r.txn_id: (r.amount, r.balance_after, r.accepted) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == want
