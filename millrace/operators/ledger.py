@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from millrace.operators import overdraft
 from millrace.operators.merge import update_columns
-from millrace.operators.ordered import CHUNK, CHUNK_ROWS, chunk_rows, previous_value, running_sum
+from millrace.operators.ordered import (
+    BROADCAST_CHUNKS, CHUNK, CHUNK_ROWS, chunk_rows, previous_value, running_sum,
+)
 from millrace.operators.overdraft import MIN_CREDIT_CENTS
 from millrace.schemas import DEPOSIT_ACCOUNT_TYPES, MONEY, OUTGOING_TYPES
 from millrace.session import cut_lineage
@@ -150,16 +152,26 @@ def replay(accounts: DataFrame, txns: DataFrame, max_rows: int = CHUNK_ROWS) ->
     if chunks == 1:
         return _in_money(_booked(chunked.withColumnRenamed("start", "opening")))
 
-    summaries = cut_lineage(_chunk_summaries(chunked))
+    # Chunks are contiguous ranges, so the accounts lying in more than one chunk
+    # have at most twice as many (account, chunk) pairs as there are chunks. That
+    # bounds every table of the rounds below, also for broadcasting.
+    near = F.broadcast if chunks <= BROADCAST_CHUNKS else (lambda df: df)
+    split = (
+        chunked.groupBy("account_id").agg(F.min("chunk").alias("_a"), F.max("chunk").alias("_b"))
+        .where("_a < _b").select("account_id")
+    )
+    parts = cut_lineage(chunked.join(near(split), "account_id"))
+    summaries = cut_lineage(_chunk_summaries(parts))
     done = accounts.sparkSession.createDataFrame([], _TRIED)
     while True:
-        known = summaries.join(done.withColumnRenamed("opening", "tried"), key, "left")
+        known = summaries.join(near(done.withColumnRenamed("opening", "tried")), key, "left")
         openings = cut_lineage(known.groupBy("account_id").applyInPandas(overdraft.propagate, _OPENINGS))
         work = openings.where("work").select(*key, "opening")
         if work.isEmpty():
             break
-        tried = _booked(chunked.join(work, key)).groupBy(*key, "opening").agg(
+        tried = _booked(parts.join(near(work), key)).groupBy(*key, "opening").agg(
             F.max_by("after", F.struct(*ORDER)).alias("closing")
         )
-        done = cut_lineage(done.join(work, key, "left_anti").unionByName(tried))
-    return _in_money(_booked(chunked.join(openings.select(*key, "opening"), key)))
+        done = cut_lineage(done.join(near(work), key, "left_anti").unionByName(tried))
+    exact = chunked.join(near(openings.select(*key, "opening")), key, "left")
+    return _in_money(_booked(exact.withColumn("opening", F.coalesce("opening", "start"))))

@@ -16,7 +16,7 @@ from millrace.session import cut_lineage
 
 CHUNK_ROWS = 2_000_000
 CHUNK = "_chunk"
-_BROADCAST_CHUNKS = 50_000
+BROADCAST_CHUNKS = 50_000
 
 
 def chunk_rows(
@@ -42,7 +42,7 @@ def join_carry(chunked: DataFrame, carry: DataFrame, keys: list[str], chunks: in
     Range chunks are contiguous, so a chunk continues at most one key: the carry
     has fewer rows than there are chunks, which is the bound for broadcasting.
     """
-    if chunks <= _BROADCAST_CHUNKS:
+    if chunks <= BROADCAST_CHUNKS:
         carry = F.broadcast(carry)
     return chunked.join(carry, [*keys, CHUNK], "left")
 
