@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import latency_ms, null_if_zero
-from millrace.operators.ordered import newest_per_key
 from millrace.operators.serving import known_ids, only_listed
 
 _BOUNDED_ROWS = 10_000
@@ -32,7 +31,11 @@ def reconcile(
         arrivals = only_listed(arrivals, source, "txn_id", bounded=True)
         balances = only_listed(balances, source, "account_id", bounded=True)
     sla = latency_ms("source_write_ts", "ingest_ts")
-    landed = newest_per_key(arrivals, ["txn_id"], ["ingest_ts", "source_write_ts"]).select(
+    # Times only, so copies of an id are combined in a hash table before the shuffle.
+    newest = arrivals.groupBy("txn_id").agg(
+        F.max_by("source_write_ts", "ingest_ts").alias("source_write_ts"), F.max("ingest_ts").alias("ingest_ts")
+    )
+    landed = newest.select(
         "txn_id",
         F.lit(True).alias("arrived"),
         "ingest_ts",
