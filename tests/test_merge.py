@@ -95,7 +95,7 @@ def test_several_batches_equal_one(spark):
     changes = random_changes(rng, 90)
     rule = member_rule(stamp(), "TAG")
     results = []
-    for cut in (90, 30, 7):
+    for cut in (90, 45, 18):
         table = spark.createDataFrame([], MEMBERS.schema)
         for low in range(0, 90, cut):
             batch = spark.createDataFrame([tuple(c.values()) for c in changes[low : low + cut]], CHANGE)
