@@ -6,6 +6,10 @@ once per part from its checkpoint, and reads the result back.
 
 from __future__ import annotations
 
+import functools
+import math
+from typing import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +43,37 @@ def _parts(df: DataFrame, id_col: str, top: int) -> list[DataFrame]:
     return parts
 
 
+_ROWS_PER_STATE = 500_000
+_PARTITIONS = "spark.sql.shuffle.partitions"
+
+
+def _sized(build: Callable[[Bank], DataFrame]) -> Callable[[Bank], DataFrame]:
+    """Run with no more state partitions than the rows call for.
+
+    A stream keeps the count it starts with and opens that many state stores in
+    every batch; the session's own setting stays the upper bound.
+    """
+
+    @functools.wraps(build)
+    def run(bank: Bank) -> DataFrame:
+        conf = bank.spark.conf
+        before = conf.get(_PARTITIONS)
+        conf.set(_PARTITIONS, str(min(int(before), max(8, math.ceil(bank.events.count() / _ROWS_PER_STATE)))))
+        try:
+            return build(bank)
+        finally:
+            conf.set(_PARTITIONS, before)
+
+    return run
+
+
 def _top(bank: Bank) -> int:
     return bank.half * 2 + 1
 
 
 @query("stream_members", f"""select ssn_last4, last_name, {', '.join(ATTRIBUTES)}, 'STREAM' as source_system,
     timestamp '{BATCH_TS}' as updated_at from all_folded where live""", {"all_folded": fold_sql("changes")})
+@_sized
 def stream_members(bank: Bank) -> DataFrame:
     """JSON change events merged into golden records, one micro-batch per part."""
     spark = bank.spark
@@ -71,6 +100,7 @@ _LANDING = "txn_id, account_id, txn_type, amount, txn_ts, source_write_ts, inges
 
 
 @query("stream_landing", f"select {_LANDING} from landing")
+@_sized
 def stream_landing(bank: Bank) -> DataFrame:
     base = scratch_path(bank.spark, "stream-landing")
     landing = bank.landing().select(*_LANDING.split(", "))
@@ -82,6 +112,7 @@ def stream_landing(bank: Bank) -> DataFrame:
 
 
 @query("stream_dedup", f"select {_LANDING} from landing")
+@_sized
 def stream_dedup(bank: Bank) -> DataFrame:
     """Every row is delivered twice and kept once."""
     base = scratch_path(bank.spark, "stream-dedup")
@@ -105,6 +136,7 @@ def _closing_row(df: DataFrame, last: DataFrame) -> DataFrame:
 
 @query("stream_reconcile", """select txn_id, account_id, source_write_ts, ingest_ts is not null as arrived, ingest_ts,
     date_diff('millisecond', source_write_ts, ingest_ts) as sla_ms from ledger""")
+@_sized
 def stream_reconcile(bank: Bank) -> DataFrame:
     base = scratch_path(bank.spark, "stream-reconcile")
     columns = ["txn_id", "account_id", "source_write_ts", "ingest_ts"]
@@ -123,6 +155,7 @@ def stream_reconcile(bank: Bank) -> DataFrame:
 @query("stream_throughput", """select w as window_start, w + interval 60 second as window_end, count(*) as n_rows
     from (select unnest(generate_series(time_bucket(interval 15 second, ingest_ts) - interval 45 second,
       time_bucket(interval 15 second, ingest_ts), interval 15 second)) as w from landing) group by w""")
+@_sized
 def stream_throughput(bank: Bank) -> DataFrame:
     base = scratch_path(bank.spark, "stream-throughput")
     landing = bank.landing().select("txn_id", "ingest_ts")
