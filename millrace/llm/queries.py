@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, packing, simhash
+from millrace.llm import bpe, langid, packing, simhash
 from millrace.llm.batches import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,12 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(read(spark, folder, "documents"), vocabulary())
+
+
+@query
+def op2_langid(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    samples = langid.learn(documents.where(fold != 2))
+    ids = documents.select("doc_id", "text", F.coalesce(fold == 2, F.lit(False)).alias("held_out"))
+    return langid.predict(ids, samples).select("doc_id", "held_out", "lang_pred", "score")
