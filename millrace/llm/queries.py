@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, langid, packing, simhash
+from millrace.llm import bpe, langid, packing, simhash, substrings
 from millrace.llm.batches import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,9 @@ def op2_langid(spark: SparkSession, folder: str) -> DataFrame:
     samples = langid.learn(documents.where(fold != 2))
     ids = documents.select("doc_id", "text", F.coalesce(fold == 2, F.lit(False)).alias("held_out"))
     return langid.predict(ids, samples).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op3_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substrings.deduplicate(read(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
