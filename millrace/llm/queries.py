@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, langid, packing, simhash, substrings
+from millrace.llm import bpe, fingerprint, langid, packing, simhash, substrings
 from millrace.llm.batches import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ def op2_langid(spark: SparkSession, folder: str) -> DataFrame:
 def op3_substrings(spark: SparkSession, folder: str) -> DataFrame:
     kept = substrings.deduplicate(read(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op9_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.against_next(read(spark, folder, "documents"))
