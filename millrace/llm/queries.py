@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, fingerprint, langid, packing, simhash, substrings
+from millrace.llm import bpe, fingerprint, langid, packing, pitman_yor, simhash, substrings
 from millrace.llm.batches import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,12 @@ def op3_substrings(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.against_next(read(spark, folder, "documents"))
+
+
+@query
+def op10_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 7
+    flagged = documents.withColumn("held_out", F.coalesce(fold == 2, F.lit(False)))
+    model = pitman_yor.train(documents.withColumn("learn", F.coalesce(fold != 2, F.lit(False))))
+    return pitman_yor.score(flagged, model)
