@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, fingerprint, langid, packing, pitman_yor, simhash, substrings
+from millrace.llm import bpe, fingerprint, langid, packing, pitman_yor, secrets, simhash, substrings
 from millrace.llm.batches import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,8 +53,8 @@ def op2_langid(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op3_substrings(spark: SparkSession, folder: str) -> DataFrame:
-    kept = substrings.deduplicate(read(spark, folder, "documents"))
-    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    kept = substrings.deduplicate(read(spark, folder, "documents"), digest=True)
+    return kept.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
 @query
@@ -69,3 +69,13 @@ def op10_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
     flagged = documents.withColumn("held_out", F.coalesce(fold == 2, F.lit(False)))
     model = pitman_yor.train(documents.withColumn("learn", F.coalesce(fold != 2, F.lit(False))))
     return pitman_yor.score(flagged, model)
+
+
+@query
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents").select("doc_id", "text", "source")
+    found = secrets.scan(documents).select("doc_id", F.explode("findings").alias("f"))
+    return found.select(
+        "doc_id", F.col("f.at").alias("word_number"), F.length("f.value").alias("length"), F.sha2("f.value", 256).alias("value_sha256"),
+        "f.before", "f.after", F.col("f.chance").alias("chance"), (F.col("f.chance") > 0.5).alias("is_secret"),
+    )
