@@ -24,31 +24,35 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from millrace.llm.batches import map_batches
-from millrace.llm.phrases import Windows, split
+from millrace.llm.phrases import Windows, mixed, split
 from millrace.session import scratch_path
 
 SIZE = 20
 ANCHOR = 4
 #: Contexts of one anchor that go to one shard.
-BLOCK = 1000
+BLOCK = 16_000
 #: Contexts whose phrases share an automaton.
 SHARD = 4000
 
 
 #: The same in both forms: 31 bits of the text's hash.
-MASK = (1 << 31) - 1
+TAG_BITS = 31
+MASK = (1 << TAG_BITS) - 1
 TAG = f"cast(xxhash64(coalesce(text, '')) & {MASK} as int)"
 
 
@@ -65,7 +69,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def occurrences(df: DataFrame, size: int, anchor: int) -> DataFrame:
-    """(a, c, doc_id, place): each anchor of each text, its context, and text tag and word number in one long."""
+    """(repeat, a, c, doc_id, place): each anchor of each text, its context, and word number and text tag in one long.
+
+    Of the occurrences of a context within a batch all but the first are marked
+    as repeats already, with a scattered key in place of the anchor, so that a
+    very frequent passage sends one row per batch to the task of its anchor.
+    """
 
     def work(batch: pa.RecordBatch) -> dict:
         rows, anchors, contexts, places = [], [], [], []
@@ -76,11 +85,24 @@ def occurrences(df: DataFrame, size: int, anchor: int) -> DataFrame:
                 rows.append(np.full(len(found.at), at))
                 anchors.append(found.anchors)
                 contexts.append(found.contexts)
-                places.append(found.at + (tag_of(text) << 32))
+                places.append((found.at << TAG_BITS) + tag_of(text))
         join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        return {"a": join(anchors), "c": join(contexts), "doc_id": batch.column(0).take(pa.array(join(rows))), "place": join(places)}
-
-    return map_batches(df, work, f"a long, c long, doc_id {_kind(df)}, place long")
+        row, a, c, place = map(join, (rows, anchors, contexts, places))
+        ids = batch.column(0)
+        rank = np.empty(len(ids), np.int64)
+        sorted_ids = pc.array_sort_indices(ids, null_placement="at_start").to_numpy()
+        again = pc.equal(ids.take(pa.array(sorted_ids[1:])), ids.take(pa.array(sorted_ids[:-1]))).fill_null(True)
+        rank[sorted_ids] = np.concatenate([[0], np.cumsum(~again.to_numpy(zero_copy_only=False))])
+        order = np.lexsort((place, rank[row], c, a))
+        row, a, c, place = row[order], a[order], c[order], place[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
+        repeat = (rank[row] != rank[row[first]]) | (place >> TAG_BITS != place[first] >> TAG_BITS)
+        a = np.where(repeat, mixed((place ^ c).view(np.uint64)).view(np.int64), a)
+        return {"repeat": repeat, "a": a, "c": c, "doc_id": ids.take(pa.array(row)), "place": place}
+
+    return map_batches(df, work, f"repeat boolean, a long, c long, doc_id {_kind(df)}, place long")
 
 
 def _kind(df: DataFrame) -> str:
@@ -88,21 +110,56 @@ def _kind(df: DataFrame) -> str:
 
 
 def marks(df: DataFrame, size: int, anchor: int) -> DataFrame:
-    """Per id and text: anchors with covered windows, and those to be compared (with their number of contexts)."""
+    """Per id and text: anchors whose windows are covered, and those whose windows must be compared.
+
+    The occurrences pass a task in the order of anchor, context, document and
+    word; it remembers one row of them, however many there are.
+    """
     found = occurrences(df, size, anchor)
-    often = found.groupBy("a").count().where("count > 1").select("a")
-    again = found.join(often, "a")
-    number = F.col("place").bitwiseAND((1 << 32) - 1)
-    firsts = again.groupBy("a", "c").agg(F.min(F.struct("doc_id", number.alias("at"))).alias("f"))
-    several = firsts.groupBy("a").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    is_first = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (number == F.col("f.at"))
-    judged = again.join(firsts, ["a", "c"]).select("a", "doc_id", "place", is_first.alias("first"))
-    repeats = judged.where("not first").select("doc_id", "place", F.lit(0).cast("long").alias("contexts"))
-    opened = judged.where("first").join(several, "a").select("doc_id", "place", "contexts")
-    marked = repeats.unionByName(opened)
-    tag = F.shiftright("place", 32).cast("int")
-    mark = F.struct(number.cast("int").alias("at"), "contexts")
-    return marked.groupBy("doc_id", tag.alias("tag")).agg(F.collect_list(mark).alias("marks"))
+    order = ["repeat", "a", "c", "doc_id", "place"]
+    schema = StructType.fromDDL(f"doc_id {_kind(df)}, place long, compare boolean")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the first occurrence of the last context, and whether it is the only one of its anchor so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held[0], batch]).combine_chunks().to_batches()[0]
+            repeat, a, c, place = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("repeat", "a", "c", "place"))
+            ids = batch.column("doc_id")
+            new_a = np.ones(len(a), bool)
+            new_a[1:] = (a[1:] != a[:-1]) | (repeat[1:] != repeat[:-1])
+            new_c = new_a.copy()
+            new_c[1:] |= c[1:] != c[:-1]
+            if held is not None:
+                new_a[0] = held[1]
+            first = np.maximum.accumulate(np.where(new_c, np.arange(len(a)), 0))
+            same_id = pc.equal(ids, ids.take(pa.array(first)))
+            same_id = pc.if_else(same_id.is_null(), pc.and_(ids.is_null(), ids.take(pa.array(first)).is_null()), same_id)
+            is_first = same_id.to_numpy(zero_copy_only=False) & (place >> TAG_BITS == place[first] >> TAG_BITS) & ~repeat
+            heads = np.flatnonzero(new_c & ~repeat)
+            several = ~new_a[heads]
+            several[:-1] |= ~new_a[heads[1:]]
+            compare = np.zeros(len(a), bool)
+            compare[heads[several]] = True
+            compare |= is_first & ~new_c  # a second row of the same id and number
+            if held is not None and not held[1]:
+                compare[0] = False  # marked with the batch before
+            keep = compare | ~is_first
+            if len(heads):
+                held = (batch.slice(int(heads[-1]), 1), not several[-1])
+            yield pa.RecordBatch.from_arrays(
+                [ids.filter(pa.array(keep)), pa.array(place[keep]), pa.array(compare[keep])], names=schema.names
+            )
+
+    dealt = found.repartition("a").sortWithinPartitions(*order)
+    marked = dealt.mapInArrow(run, schema)
+    number, tag = F.shiftright("place", TAG_BITS).cast("int"), F.col("place").bitwiseAND(MASK).cast("int")
+    split_ = lambda wanted: F.collect_list(F.when(wanted, number))
+    return marked.groupBy("doc_id", tag.alias("tag")).agg(
+        split_(~F.col("compare")).alias("repeats"), split_(F.col("compare")).alias("compare")
+    )
 
 
 def covered_words(count: int, starts: np.ndarray, size: int) -> np.ndarray:
@@ -113,37 +170,63 @@ def covered_words(count: int, starts: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(steps)[:-1] > 0
 
 
-def first_pass(df: DataFrame, marked: DataFrame, size: int, anchor: int) -> DataFrame:
-    """A row per document: its covered windows so far, and the contexts still to be compared."""
-    m = marked.select(F.col("doc_id").alias("m_id"), F.col("tag").alias("m_tag"), "marks")
-    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.expr(TAG) == F.col("m_tag"))
-    joined = df.join(m, same, "left").select("doc_id", "text", "marks")
-    context = "array<struct<a: long, contexts: long, start: int, words: string, windows: array<long>>>"
-    schema = f"doc_id {_kind(df)}, tag int, text string, covered array<int>, open {context}"
+def packed(df: DataFrame) -> DataFrame:
+    """(doc_id, tag, z): texts compressed for the way through the shuffle; a null text is empty."""
+
+    def work(batch: pa.RecordBatch) -> dict:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        texts = [(t.as_py() or "").encode() for t in batch.column(1)]
+        return {"doc_id": batch.column(0), "tag": batch.column(2), "z": [squeeze(t) for t in texts]}
+
+    return map_batches(df.select("doc_id", "text", F.expr(TAG).alias("tag")), work, f"doc_id {_kind(df)}, tag int, z binary")
+
+
+def with_lists(texts: DataFrame, lists: DataFrame) -> DataFrame:
+    """``texts`` with the columns of ``lists`` for the same id and text, null where there are none."""
+    m = lists.withColumnsRenamed({"doc_id": "m_id", "tag": "m_tag"})
+    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("tag") == F.col("m_tag"))
+    return texts.join(m, same, "left").drop("m_id", "m_tag")
+
+
+def _result(words: list[bytes], starts: np.ndarray, size: int, digest: bool) -> tuple[int, int, str]:
+    """Word count, number removed, and the kept words or their SHA-256."""
+    if len(starts):
+        gone = covered_words(len(words), starts, size)
+        left = [w for w, g in zip(words, gone.tolist()) if not g]
+    else:
+        left = words
+    kept = b" ".join(left)
+    return len(words), len(words) - len(left), hashlib.sha256(kept).hexdigest() if digest else kept.decode()
+
+
+def first_pass(df: DataFrame, marked: DataFrame, size: int, anchor: int, digest: bool) -> DataFrame:
+    """The result of documents whose covered windows are all known; of others their contexts to be compared."""
+    joined = with_lists(packed(df), marked).select("doc_id", "tag", "z", "repeats", "compare")
+    context = "array<struct<a: long, start: int, words: string>>"
+    schema = f"doc_id {_kind(df)}, tag int, n_words long, n_removed long, kept string, z binary, covered binary, open {context}"
 
     def work(batch: pa.RecordBatch) -> dict:
-        tags, covered, opened = [], [], []
-        for text, marks_ in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            tags.append(tag_of(text))
-            gone, more = [], []
-            if marks_:
-                words = split(text)
+        read = zstandard.ZstdDecompressor().decompress
+        out = {n: [] for n in ("n_words", "n_removed", "kept", "z", "covered", "open")}
+        for z, repeats, compare in zip(*(batch.column(i) for i in (2, 3, 4))):
+            z, repeats, compare = z.as_py(), repeats.as_py(), compare.as_py()
+            words, starts, more = read(z).split(), np.zeros(0, np.int64), []
+            if repeats or compare:
                 found = Windows(words, size, anchor)
-                for mark in marks_:
-                    run = int(np.searchsorted(found.at, mark["at"]))
+                runs = np.searchsorted(found.at, np.array(repeats, np.int64))
+                if len(runs):
+                    starts = np.concatenate([np.arange(found.first[r], found.last[r] + 1) for r in runs])
+                for run in np.searchsorted(found.at, np.array(compare, np.int64)).tolist():
                     first, last = int(found.first[run]), int(found.last[run])
-                    if not mark["contexts"]:
-                        gone.append(np.arange(first, last + 1))
-                        continue
-                    hot = mark["contexts"] > BLOCK
-                    more.append({
-                        "a": int(found.anchors[run]), "contexts": mark["contexts"], "start": first,
-                        "words": b" ".join(words[first : last + size]).decode(),
-                        "windows": found.hashes(np.arange(first, last + 1)).tolist() if hot else None,
-                    })
-            covered.append(np.concatenate(gone).astype(np.int32) if gone else np.zeros(0, np.int32))
-            opened.append(more)
-        return {"doc_id": batch.column(0), "tag": tags, "text": batch.column(1), "covered": covered, "open": opened}
+                    line = b" ".join(words[first : last + size]).decode()
+                    more.append({"a": int(found.anchors[run]), "start": first, "words": line})
+            made = (None, None, None) if more else _result(words, starts, size, digest)
+            for name, value in zip(("n_words", "n_removed", "kept"), made):
+                out[name].append(value)
+            out["z"].append(z if more else None)
+            out["covered"].append(zstandard.compress(starts.astype("<i4").tobytes()) if more else None)
+            out["open"].append(more)
+        return {"doc_id": batch.column(0), "tag": batch.column(1), **out}
 
     return map_batches(joined, work, schema)
 
@@ -210,54 +293,69 @@ def _locate(rows: list[dict], size: int) -> Iterator[dict]:
             yield {"doc_id": row["doc_id"], "tag": row["tag"], "starts": places}
 
 
+def phrase_hashes(contexts: DataFrame, size: int) -> DataFrame:
+    """(a, doc_id, tag, start, n, h): the hash of each window of each context."""
+
+    def work(batch: pa.RecordBatch) -> dict:
+        rows, numbers, found = [], [], []
+        for at, line in enumerate(batch.column(4).to_pylist()):
+            words = line.encode().split(b" ")
+            count = len(words) - size + 1
+            rows.append(np.full(count, at))
+            numbers.append(np.arange(count))
+            found.append(Windows(words, size, size).hashes(np.arange(count)))
+        taken = pa.array(np.concatenate(rows))
+        kept = {n: batch.column(n).take(taken) for n in ("a", "doc_id", "tag", "start")}
+        return {**kept, "n": np.concatenate(numbers).astype(np.int32), "h": np.concatenate(found)}
+
+    schema = f"a long, doc_id {_kind(contexts)}, tag int, start int, n int, h long"
+    return map_batches(contexts.select("a", "doc_id", "tag", "start", "words"), work, schema)
+
+
 def compared(passed: DataFrame, size: int) -> DataFrame:
     """(doc_id, tag, starts) over all contexts that ``first_pass`` left open."""
     contexts = passed.select("doc_id", "tag", F.explode("open").alias("o")).select("doc_id", "tag", "o.*")
-    spread = F.ceil(F.col("contexts") / BLOCK).cast("int")
-    contexts = contexts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), spread).cast("int"))
-    rare = contexts.where("windows is null")
-    hot = contexts.where("windows is not null")
-    windows = hot.select("a", "doc_id", "tag", "start", F.posexplode("windows").alias("n", "h"))
+    sizes = contexts.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("shards"))
+    sizes = sizes.where("shards > 1").withColumnRenamed("a", "hot_a")
+    contexts = contexts.join(sizes, F.col("a") == F.col("hot_a"), "left")
+    salt = F.pmod(F.xxhash64("doc_id", "start"), F.coalesce("shards", F.lit(1))).cast("int")
+    contexts = contexts.withColumn("salt", salt)
+    hot = contexts.where("shards is not null")
+    windows = phrase_hashes(hot, size)
     place = F.struct("doc_id", (F.col("start") + F.col("n")).alias("at"))
     firsts = windows.groupBy("a", "h").agg(F.min(place).alias("f"), F.count("*").alias("times")).where("times > 1")
     known = windows.join(firsts.select("a", "h", "f"), ["a", "h"])
     hits = F.collect_list(F.struct("n", F.col("f.doc_id").alias("doc_id"), F.col("f.at").alias("at")))
-    known = known.groupBy("a", "doc_id", "tag", "start").agg(hits.alias("known"))
-    known = known.select(*[F.col(c).alias(f"k_{c}") for c in ("a", "doc_id", "tag", "start")], "known")
-    pairs = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in ("a", "doc_id", "tag", "start")]
-    hot = hot.join(known, pairs[0] & pairs[1] & pairs[2] & pairs[3])
+    keys = ("a", "doc_id", "tag", "start")
+    known = known.groupBy(*keys).agg(hits.alias("known")).withColumnsRenamed({k: f"k_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys]
+    hot = hot.join(known, same[0] & same[1] & same[2] & same[3])
     nothing = F.lit(None).cast(hot.schema["known"].dataType)
     columns = ["a", "salt", "doc_id", "tag", "start", "words", "known"]
-    return located(rare.withColumn("known", nothing).select(*columns).unionByName(hot.select(*columns)), size)
+    rare = contexts.where("shards is null").withColumn("known", nothing)
+    return located(rare.select(*columns).unionByName(hot.select(*columns)), size)
 
 
-def deduplicate(df: DataFrame, size: int = SIZE, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, text, n_words, n_removed, kept): ``kept`` holds the words that stay, joined by single spaces."""
+def deduplicate(df: DataFrame, size: int = SIZE, anchor: int = ANCHOR, digest: bool = False) -> DataFrame:
+    """(doc_id, tag, n_words, n_removed, kept): ``kept`` holds the words that stay, joined by single spaces.
+
+    With ``digest`` it is their SHA-256 instead, and no texts are written.
+    ``tag`` is ``TAG`` of the text, to find its row again where ids repeat.
+    """
     documents = df.select("doc_id", "text")
-    passed = staged(first_pass(documents, marks(documents, size, anchor), size, anchor), "passages")
+    passed = staged(first_pass(documents, marks(documents, size, anchor), size, anchor, digest), "passages")
     more = compared(passed, size).groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    m = more.select(F.col("doc_id").alias("m_id"), F.col("tag").alias("m_tag"), "starts")
-    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("tag") == F.col("m_tag"))
-    columns = ["doc_id", "text", "covered", "starts"]
-    waiting = F.size("open") > 0
-    open_ = passed.where(waiting).join(m, same, "left").select(*columns)
-    rest = passed.where(~waiting).select(*columns[:3], F.lit(None).cast("array<int>").alias("starts"))
-    schema = f"doc_id {_kind(df)}, text string, n_words long, n_removed long, kept string"
+    waiting = with_lists(passed.where("z is not null").select("doc_id", "tag", "z", "covered"), more)
+    schema = f"doc_id {_kind(df)}, tag int, n_words long, n_removed long, kept string"
 
     def work(batch: pa.RecordBatch) -> dict:
-        counts, removed, kept = [], [], []
-        for text, covered, starts in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-            words = split(text)
-            places = np.array([*covered, *(starts or [])], np.int64)
-            if len(places):
-                gone = covered_words(len(words), places, size)
-                removed.append(int(gone.sum()))
-                words_kept = [w for w, g in zip(words, gone.tolist()) if not g]
-            else:
-                removed.append(0)
-                words_kept = words
-            counts.append(len(words))
-            kept.append(b" ".join(words_kept).decode())
-        return {"doc_id": batch.column(0), "text": batch.column(1), "n_words": counts, "n_removed": removed, "kept": kept}
-
-    return map_batches(rest.unionByName(open_), work, schema)
+        read = zstandard.ZstdDecompressor().decompress
+        rows = []
+        for z, covered, starts in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+            places = np.concatenate([np.frombuffer(read(covered), "<i4"), np.array(starts or [], np.int32)]).astype(np.int64)
+            rows.append(_result(read(z).split(), places, size, digest))
+        columns = dict(zip(("n_words", "n_removed", "kept"), map(list, zip(*rows))))
+        return {"doc_id": batch.column(0), "tag": batch.column(1), **columns}
+
+    done = passed.where("z is null").select("doc_id", "tag", "n_words", "n_removed", "kept")
+    return done.unionByName(map_batches(waiting, work, schema))
