@@ -41,9 +41,13 @@ STRENGTH = 1.0
 SWEEPS, BURN_IN = 6, 2
 SEED = 7
 #: Entries that are seated together in a task; a subtree is never cut.
-BLOCK_ROWS = 400_000
+BLOCK_ROWS = 200_000
 #: Characters of text per scoring chunk, on average.
 CHUNK_CHARS = 24_000_000
+#: Characters whose places are held in work arrays at a time.
+STEP = 1_000_000
+#: Probabilities travel as whole numbers of this part of a decimal digit, which pack well.
+PARTS = 10_000_000
 PAD = b"\n" * ORDER
 GRAM, WORD = 0, 1
 
@@ -82,7 +86,7 @@ def counts(df: DataFrame) -> DataFrame:
         for flag in (True, False):
             some = [t for t, f in zip(texts, learned) if bool(f) == flag]
             parts, words = [], []
-            for a, b in pieces(some):
+            for a, b in pieces(some, STEP):
                 split = [tokens(t) for t in some[a:b]]
                 parts.append(np.unique(grams(split)[0], return_counts=True))
                 if flag:
@@ -209,7 +213,7 @@ def _subtrees(rows: DataFrame, schema: str, work) -> DataFrame:
 
 @dataclass
 class Model:
-    """``entries``: (kind, key, value), the probability of a byte in its context or the count of a word."""
+    """``entries``: (kind, key, value), the log of a byte's probability in its context (in ``PARTS``) or a word's count."""
 
     entries: DataFrame
     learned_tokens: int
@@ -246,10 +250,11 @@ def train(df: DataFrame) -> Model:
     def probabilities(keys: np.ndarray, learned: np.ndarray) -> list[np.ndarray]:
         rooms = Restaurants(keys, learned, 2, ORDER)
         rng = np.random.default_rng([SEED, 2, int(keys[0] >> 8 & 0xFFFF)])
-        return [keys, rooms.sample(rng, guess[rooms.levels[-1]["keys"] & (low - 1)])]
+        found = rooms.sample(rng, guess[rooms.levels[-1]["keys"] & (low - 1)])
+        return [keys, np.rint(-PARTS * np.log10(found)).astype(np.int64)]
 
-    model = _subtrees(bytes_, "key long, value double", probabilities).select(F.lit(GRAM).alias("kind"), "key", "value")
-    entries = staged(model.unionByName(words.select("kind", "key", F.col("n").cast("double").alias("value"))), "model")
+    model = _subtrees(bytes_, "key long, value long", probabilities).select(F.lit(GRAM).alias("kind"), "key", "value")
+    entries = staged(model.unionByName(words.select("kind", "key", F.col("n").alias("value"))), "model")
     return Model(entries, (row["tokens"] or 0) + ends, row["types"] + (ends > 0), ends)
 
 
@@ -261,15 +266,17 @@ def score(df: DataFrame, model: Model) -> DataFrame:
     total = df.agg(F.sum(F.length("text"))).first()[0] or 0
     chunks = max(1, total // CHUNK_CHARS)
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
-    texts = df.select("doc_id", "text", "held_out", chunk.alias("chunk")).repartition(chunks, "chunk")
+    # As many partitions as a shuffle has at least, so that the second side is dealt to them too.
+    dealt = max(chunks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    texts = df.select("doc_id", "text", "held_out", chunk.alias("chunk")).repartition(dealt, "chunk")
 
     def wanted(batch: pa.RecordBatch) -> dict:
-        chunk_of = batch.column(1).to_numpy()
-        rows = batch.column(0).to_pylist()
+        chunk_of = batch.column(3).to_numpy()
+        rows = batch.column(1).to_pylist()
         made = []
         for number in np.unique(chunk_of).tolist():
             some, held, words = [rows[i] for i in np.flatnonzero(chunk_of == number)], [], []
-            for a, b in pieces(some):
+            for a, b in pieces(some, STEP):
                 split = [tokens(t) for t in some[a:b]]
                 held.append(np.unique(grams(split)[0]))
                 words.append(np.unique(hashes([w for s in split for w in s])))
@@ -277,7 +284,8 @@ def score(df: DataFrame, model: Model) -> DataFrame:
                 made.append((np.full(len(keys), number, np.int32), np.full(len(keys), kind, np.int32), keys))
         return dict(zip(("chunk", "kind", "key"), (np.concatenate(x) for x in zip(*made))))
 
-    asked = map_batches(texts.select("text", "chunk"), wanted, "chunk int, kind int, key long")
+    # All columns of texts, so that one shuffle of them serves both sides.
+    asked = map_batches(texts, wanted, "chunk int, kind int, key long")
     fetched = asked.join(model.entries, ["kind", "key"]).select("chunk", "kind", "key", "value")
     size, learned = model.learned_tokens, model.learned_texts
     floor = size + model.learned_types + 1
@@ -294,10 +302,10 @@ def score(df: DataFrame, model: Model) -> DataFrame:
             keys, first = np.unique(keys, return_index=True)
             tables.append((keys, values[first]))
         (keys, chances), (words_known, word_counts) = tables
-        logs = np.log10(chances)
+        logs = chances / -PARTS
         rows = left.column("text").to_pylist()
         out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
-        for a, b in pieces(rows):
+        for a, b in pieces(rows, STEP):
             split = [tokens(t) for t in rows[a:b]]
             found, begin = grams(split)
             out["score"] += np.add.reduceat(logs[np.searchsorted(keys, found)], begin).tolist()
