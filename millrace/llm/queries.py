@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, fingerprint, langid, packing, pitman_yor, secrets, simhash, substrings
+from millrace.llm import bpe, fingerprint, langid, neighbours, packing, pitman_yor, secrets, simhash, substrings
 from millrace.llm.batches import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.col("f.at").alias("word_number"), F.length("f.value").alias("length"), F.sha2("f.value", 256).alias("value_sha256"),
         "f.before", "f.after", F.col("f.chance").alias("chance"), (F.col("f.chance") > 0.5).alias("is_secret"),
     )
+
+
+@query
+def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.search(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
