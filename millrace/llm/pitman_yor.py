@@ -28,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -38,7 +39,7 @@ from millrace.llm.substrings import staged
 ORDER = 5  # bytes of context
 DISCOUNTS = (0.3, 0.3, 0.6, 0.65, 0.7, 0.75)  # by length of the context
 STRENGTH = 1.0
-SWEEPS, BURN_IN = 6, 2
+SWEEPS, BURN_IN = 5, 2
 SEED = 7
 #: Entries that are seated together in a task; a subtree is never cut.
 BLOCK_ROWS = 200_000
@@ -52,8 +53,10 @@ PAD = b"\n" * ORDER
 GRAM, WORD = 0, 1
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return text.encode().lower().split() if text else []
+def tokens(text: str | bytes | None) -> list[bytes]:
+    if not text:
+        return []
+    return (text if isinstance(text, bytes) else text.encode()).lower().split()
 
 
 def grams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,28 +88,45 @@ def counts(df: DataFrame) -> DataFrame:
         found: list[tuple[int, np.ndarray, np.ndarray]] = []
         for flag in (True, False):
             some = [t for t, f in zip(texts, learned) if bool(f) == flag]
-            parts, words = [], []
+            parts, words = Tally(), Tally()
             for a, b in pieces(some, STEP):
                 split = [tokens(t) for t in some[a:b]]
-                parts.append(np.unique(grams(split)[0], return_counts=True))
+                parts.add(grams(split)[0])
                 if flag:
-                    words.append(np.unique(hashes([w for s in split for w in s]), return_counts=True))
-            found += [(kind, *_merged(p)) for kind, p in ((GRAM, parts), (WORD, words)) if p]
+                    words.add(hashes([w for s in split for w in s]))
+            found += [(kind, *t.total()) for kind, t in ((GRAM, parts), (WORD, words))]
         kinds = np.concatenate([np.full(len(k), kind, np.int32) for kind, k, _ in found])
         totals = [n for _, _, n in found]
         if len(texts) != sum(map(bool, learned)):  # those not learned come last and count nothing
-            totals[-1] = np.zeros_like(totals[-1])
+            totals[-2] = np.zeros_like(totals[-2])
         return {"kind": kinds, "key": np.concatenate([k for _, k, _ in found]), "n": np.concatenate(totals)}
 
     rows = map_batches(df.select("text", "learn"), work, "kind int, key long, n long")
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    if len(parts) == 1:
-        return parts[0]
-    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(place, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
+class Tally:
+    """Distinct numbers and how often they came; merged whenever ``STEP`` have gathered."""
+
+    def __init__(self):
+        self.keys, self.counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def add(self, keys: np.ndarray) -> None:
+        keys, counts = np.unique(keys, return_counts=True)
+        self.keys.append(keys)
+        self.counts.append(counts)
+        if sum(map(len, self.keys[1:])) >= STEP:
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.keys) > 1:
+            keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], counts[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+            self.keys = [keys[first]]
+            self.counts = [np.add.reduceat(counts, first) if len(first) else counts]
+        return self.keys[0], self.counts[0]
 
 
 def reseat(rng, customers, others, parent, discount) -> np.ndarray:
@@ -254,7 +274,7 @@ def train(df: DataFrame) -> Model:
         return [keys, np.rint(-PARTS * np.log10(found)).astype(np.int64)]
 
     model = _subtrees(bytes_, "key long, value long", probabilities).select(F.lit(GRAM).alias("kind"), "key", "value")
-    entries = staged(model.unionByName(words.select("kind", "key", F.col("n").alias("value"))), "model")
+    entries = staged(model, "model").unionByName(words.select("kind", "key", F.col("n").alias("value")))
     return Model(entries, (row["tokens"] or 0) + ends, row["types"] + (ends > 0), ends)
 
 
@@ -268,19 +288,33 @@ def score(df: DataFrame, model: Model) -> DataFrame:
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
     # As many partitions as a shuffle has at least, so that the second side is dealt to them too.
     dealt = max(chunks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    texts = df.select("doc_id", "text", "held_out", chunk.alias("chunk")).repartition(dealt, "chunk")
+    kind_of_id = df.schema["doc_id"].dataType.simpleString()
+
+    def squeezed(batch: pa.RecordBatch) -> dict:
+        press = zstandard.ZstdCompressor(level=1).compress
+        return {
+            "doc_id": batch.column(0), "held_out": batch.column(1), "chunk": batch.column(2),
+            "z": [press((t.as_py() or "").encode()) for t in batch.column(3)],
+        }
+
+    small = map_batches(
+        df.select("doc_id", "held_out", chunk.alias("chunk"), "text"), squeezed,
+        f"doc_id {kind_of_id}, held_out boolean, chunk int, z binary",
+    )
+    texts = small.repartition(dealt, "chunk")
 
     def wanted(batch: pa.RecordBatch) -> dict:
-        chunk_of = batch.column(3).to_numpy()
-        rows = batch.column(1).to_pylist()
+        read = zstandard.ZstdDecompressor().decompress
+        chunk_of = batch.column(2).to_numpy()
         made = []
         for number in np.unique(chunk_of).tolist():
-            some, held, words = [rows[i] for i in np.flatnonzero(chunk_of == number)], [], []
+            some = [read(batch.column(3)[i].as_py()) for i in np.flatnonzero(chunk_of == number).tolist()]
+            held, words = Tally(), Tally()
             for a, b in pieces(some, STEP):
                 split = [tokens(t) for t in some[a:b]]
-                held.append(np.unique(grams(split)[0]))
-                words.append(np.unique(hashes([w for s in split for w in s])))
-            for kind, keys in ((GRAM, np.unique(np.concatenate(held))), (WORD, np.unique(np.concatenate(words)))):
+                held.add(grams(split)[0])
+                words.add(hashes([w for s in split for w in s]))
+            for kind, keys in ((GRAM, held.total()[0]), (WORD, words.total()[0])):
                 made.append((np.full(len(keys), number, np.int32), np.full(len(keys), kind, np.int32), keys))
         return dict(zip(("chunk", "kind", "key"), (np.concatenate(x) for x in zip(*made))))
 
@@ -290,7 +324,7 @@ def score(df: DataFrame, model: Model) -> DataFrame:
     size, learned = model.learned_tokens, model.learned_texts
     floor = size + model.learned_types + 1
     schema = (
-        f"doc_id {df.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, "
+        f"doc_id {kind_of_id}, held_out boolean, n_tokens long, n_known long, "
         "train_tokens long, base_score double, score double"
     )
 
@@ -303,7 +337,8 @@ def score(df: DataFrame, model: Model) -> DataFrame:
             tables.append((keys, values[first]))
         (keys, chances), (words_known, word_counts) = tables
         logs = chances / -PARTS
-        rows = left.column("text").to_pylist()
+        read = zstandard.ZstdDecompressor().decompress
+        rows = [read(z.as_py()) for z in left.column("z")]
         out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
         for a, b in pieces(rows, STEP):
             split = [tokens(t) for t in rows[a:b]]
