@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, fingerprint, langid, neighbours, packing, pitman_yor, secrets, simhash, substrings
+from millrace.llm import bpe, fingerprint, langid, licenses, neighbours, packing, pitman_yor, secrets, simhash, substrings
 from millrace.llm.batches import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.search(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(read(spark, folder, "documents"))
