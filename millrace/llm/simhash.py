@@ -28,6 +28,7 @@ from pyspark.sql.types import StructType
 
 from millrace.llm.batches import map_batches
 from millrace.llm.graph import components
+from millrace.llm.phrases import mixed
 from millrace.session import cut_lineage
 
 SEED = 42
@@ -77,12 +78,14 @@ def position_triples() -> list[tuple[int, int, int]]:
     return chosen
 
 
-def links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """(a, b): links between distinct fingerprints of column fp at ``radius`` bits or fewer, up to four.
+def links(fps: DataFrame, radius: int = 4, leaders: bool = False) -> DataFrame:
+    """(kind, a, b): links between distinct fingerprints (columns kind, fp) at ``radius`` bits or fewer, up to four.
 
-    Each list gives a spanning forest of its links, not all of them, so the rows
-    stay below the index entries whatever the size of a group; components over
-    them are those of all links.
+    Only fingerprints of one kind are compared. Each list gives a spanning forest
+    of its links, not all of them, so the rows stay below the index entries
+    whatever the size of a group; components over them are those of all links.
+    With ``leaders`` a list gives each fingerprint's links to the leaders of the
+    list instead: those that have no link to an earlier leader.
     """
     if not 0 <= radius <= 4:
         raise ValueError("the position triples are complete up to a radius of four bits")
@@ -92,7 +95,8 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
         F.lit(n << 24).bitwiseOR(F.shiftleft(at(p), 16)).bitwiseOR(F.shiftleft(at(q), 8)).bitwiseOR(at(r))
         for n, (p, q, r) in enumerate(position_triples())
     ]
-    index = fps.select("fp").distinct().select("fp", F.explode(F.array(*keys)).alias("key"))
+    keys = [F.shiftleft(F.col("kind").cast("long"), 32).bitwiseOR(k) for k in keys]
+    index = fps.select("kind", "fp").distinct().select("fp", F.explode(F.array(*keys)).alias("key"))
     sizes = index.groupBy("key").count().where("count > 1")
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     shared = index.join(sizes, "key").select("key", "fp", blocks.alias("blocks"))
@@ -111,22 +115,25 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
                 rows = np.concatenate([*held, rows])
             changes = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1)) + 1
             bounds = [0, *changes.tolist()]
-            yield _edges(rows, bounds, least, radius)
+            yield _edges(rows, bounds, least, radius, leaders)
             held = [rows[bounds[-1] :]]
         if held:
-            yield _edges(held[0], [0, len(held[0])], least, radius)
+            yield _edges(held[0], [0, len(held[0])], least, radius, leaders)
 
-    return ordered.mapInArrow(run, StructType.fromDDL("a long, b long")).distinct()
+    return ordered.mapInArrow(run, StructType.fromDDL("kind int, a long, b long")).distinct()
 
 
-def _edges(rows: np.ndarray, bounds: list[int], least: int, radius: int) -> pa.RecordBatch:
-    made: list[tuple[int, int]] = []
+def _edges(rows: np.ndarray, bounds: list[int], least: int, radius: int, leaders: bool) -> pa.RecordBatch:
+    made: list[tuple[int, int, int]] = []
+    join = _stars if leaders else _forest
     for start, stop in zip(bounds, bounds[1:]):
         group = rows[start:stop]
         if len(group) > 1:
-            made += _forest(group[:, 4], group[:, 3], group[0, 1], group[0, 2], least, radius)
+            kind = int(group[0, 0] >> 32)
+            made += [(kind, a, b) for a, b in join(group[:, 4], group[:, 3], group[0, 1], group[0, 2], least, radius)]
     return pa.RecordBatch.from_arrays(
-        [pa.array([a for a, _ in made], pa.int64()), pa.array([b for _, b in made], pa.int64())], names=["a", "b"]
+        [pa.array([m[0] for m in made], pa.int32()), *(pa.array([m[n] for m in made], pa.int64()) for n in (1, 2))],
+        names=["kind", "a", "b"],
     )
 
 
@@ -152,12 +159,93 @@ def _forest(fps: np.ndarray, own: np.ndarray, i: int, j: int, least: int, radius
     return made
 
 
+def _stars(fps: np.ndarray, own: np.ndarray, i: int, j: int, least: int, radius: int) -> list[tuple[int, int]]:
+    """Links of each fingerprint to the leaders of the list, or of its block ``i`` where blocks differ."""
+    bits, made = fps.view(np.uint64), []
+    open_ = own == i
+    while open_.any():
+        leader = int(np.flatnonzero(open_)[0])
+        apart = bits ^ bits[leader]
+        shared = (apart.view(np.uint8).reshape(-1, BYTES) == 0).sum(1)
+        near = (shared >= least) & (np.bitwise_count(apart) <= radius)
+        for other in np.flatnonzero(near & ((own == j) | (own == i))).tolist():
+            if other != leader:
+                made.append((int(fps[other]), int(fps[leader])))
+        open_ &= ~near
+    return made
+
+
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """``id_col``, ``fp``, ``component_id``: the smallest id that a document reaches over links."""
     fps = cut_lineage(fingerprints(df, id_col, text_col, words))
     firsts = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
-    groups = components(links(fps, radius)).withColumnRenamed("node", "fp")
+    groups = components(links(fps.withColumn("kind", F.lit(0)), radius)).withColumnRenamed("node", "fp")
     known = cut_lineage(firsts.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
     least = known.groupBy("component").agg(F.min("least").alias("component_id"))
     named = known.join(least, "component").select("fp", "component_id")
     return fps.join(named, "fp").select(id_col, "fp", "component_id")
+
+
+def word_fingerprints(text: str | None, kinds: int) -> list[int]:
+    """``kinds`` independent fingerprints over the distinct words of a text."""
+    parts = set(text.encode().lower().split()) if text else set()
+    if not parts:
+        return [0] * kinds
+    words = np.sort(np.array([xxhash.xxh64_intdigest(w, SEED) for w in parts], np.uint64))
+    made = []
+    for kind in range(kinds):
+        shift = np.uint64((kind + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+        hashes = mixed(words + shift).astype("<u8")
+        counts = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        made.append(int(np.packbits(2 * counts > len(words), bitorder="little").view("<i8")[0]))
+    return made
+
+
+def shingle_hashes(text: str | None, words: int) -> list[int]:
+    """Hashes of the distinct shingles of a text; a shorter text is one shingle."""
+    parts = text.encode().lower().split() if text else []
+    found = {b" ".join(parts[n : n + words]) for n in range(max(1, len(parts) - words + 1))}
+    return [xxhash.xxh64_intdigest(s, SEED) - (1 << 63) for s in found]
+
+
+def near_copies(df: DataFrame, words: int = 5, similarity: float = 0.8, kinds: int = 6, radius: int = 4) -> DataFrame:
+    """(doc_id, component_id): documents in groups of texts whose shingle sets have a Jaccard ``similarity`` or more.
+
+    Documents alone in their group and rows without an id are left out. A pair is
+    found if one of ``kinds`` fingerprints over single words, which move less
+    under an edit than those over shingles, links it directly or to a leader of
+    its list; it is then verified on the shingles themselves. Equal texts are one
+    text here, whatever their number.
+    """
+    known = df.where("doc_id is not null").select("doc_id", "text")
+    same = F.sha2(F.coalesce("text", F.lit("")), 256)
+    named = cut_lineage(known.select("doc_id", same.alias("h")).groupBy("h").agg(F.min("doc_id").alias("first")))
+    firsts = known.join(named.select(F.col("first").alias("doc_id")), "doc_id").withColumn("h", same).dropDuplicates(["h"])
+
+    def work(batch: pa.RecordBatch) -> dict:
+        return {"doc_id": batch.column(0), "fps": [word_fingerprints(t.as_py(), kinds) for t in batch.column(1)]}
+
+    kind_of_id = df.schema["doc_id"].dataType.simpleString()
+    found = map_batches(firsts.select("doc_id", "text"), work, f"doc_id {kind_of_id}, fps array<long>")
+    fps = cut_lineage(found.select("doc_id", F.posexplode("fps").alias("kind", "fp")))
+    least = cut_lineage(fps.groupBy("kind", "fp").agg(F.min("doc_id").alias("least")))
+    pairs = links(least, radius, leaders=True)
+    end = lambda name, to: least.select("kind", F.col("fp").alias(name), F.col("least").alias(to))
+    between = pairs.join(end("a", "x"), ["kind", "a"]).join(end("b", "y"), ["kind", "b"]).select("x", "y")
+    inside = fps.join(least, ["kind", "fp"]).where("doc_id <> least").select(F.col("doc_id").alias("x"), F.col("least").alias("y"))
+    pairs = between.unionByName(inside).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    pairs = cut_lineage(pairs.distinct())
+
+    def sets(batch: pa.RecordBatch) -> dict:
+        return {"doc_id": batch.column(0), "s": [shingle_hashes(t.as_py(), words) for t in batch.column(1)]}
+
+    asked = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
+    some = map_batches(firsts.join(asked, "doc_id").select("doc_id", "text"), sets, f"doc_id {kind_of_id}, s array<long>")
+    some = cut_lineage(some)
+    one = some.select(F.col("doc_id").alias("x"), F.col("s").alias("s_x"))
+    two = some.select(F.col("doc_id").alias("y"), F.col("s").alias("s_y"))
+    both = F.size(F.array_intersect("s_x", "s_y"))
+    alike = pairs.join(one, "x").join(two, "y").where(both >= similarity * (F.size("s_x") + F.size("s_y") - both))
+    copies = known.withColumn("h", same).join(named, "h").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    groups = components(alike.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(copies))
+    return groups.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "component_id")

@@ -188,8 +188,10 @@ def with_lists(texts: DataFrame, lists: DataFrame) -> DataFrame:
     return texts.join(m, same, "left").drop("m_id", "m_tag")
 
 
-def _result(words: list[bytes], starts: np.ndarray, size: int, digest: bool) -> tuple[int, int, str]:
-    """Word count, number removed, and the kept words or their SHA-256."""
+def _result(text: bytes, words: list[bytes], starts: np.ndarray, size: int, digest: bool) -> tuple[int, int, str]:
+    """Word count, number removed, and the kept words or their SHA-256; without a digest an untouched text stays as it is."""
+    if not len(starts) and not digest:
+        return len(words), 0, text.decode()
     if len(starts):
         gone = covered_words(len(words), starts, size)
         left = [w for w, g in zip(words, gone.tolist()) if not g]
@@ -210,7 +212,8 @@ def first_pass(df: DataFrame, marked: DataFrame, size: int, anchor: int, digest:
         out = {n: [] for n in ("n_words", "n_removed", "kept", "z", "covered", "open")}
         for z, repeats, compare in zip(*(batch.column(i) for i in (2, 3, 4))):
             z, repeats, compare = z.as_py(), repeats.as_py(), compare.as_py()
-            words, starts, more = read(z).split(), np.zeros(0, np.int64), []
+            text = read(z)
+            words, starts, more = text.split(), np.zeros(0, np.int64), []
             if repeats or compare:
                 found = Windows(words, size, anchor)
                 runs = np.searchsorted(found.at, np.array(repeats, np.int64))
@@ -220,7 +223,7 @@ def first_pass(df: DataFrame, marked: DataFrame, size: int, anchor: int, digest:
                     first, last = int(found.first[run]), int(found.last[run])
                     line = b" ".join(words[first : last + size]).decode()
                     more.append({"a": int(found.anchors[run]), "start": first, "words": line})
-            made = (None, None, None) if more else _result(words, starts, size, digest)
+            made = (None, None, None) if more else _result(text, words, starts, size, digest)
             for name, value in zip(("n_words", "n_removed", "kept"), made):
                 out[name].append(value)
             out["z"].append(z if more else None)
@@ -337,9 +340,9 @@ def compared(passed: DataFrame, size: int) -> DataFrame:
 
 
 def deduplicate(df: DataFrame, size: int = SIZE, anchor: int = ANCHOR, digest: bool = False) -> DataFrame:
-    """(doc_id, tag, n_words, n_removed, kept): ``kept`` holds the words that stay, joined by single spaces.
+    """(doc_id, tag, n_words, n_removed, kept): ``kept`` is the text, or where words went the others, joined by single spaces.
 
-    With ``digest`` it is their SHA-256 instead, and no texts are written.
+    With ``digest`` it is the SHA-256 of the words that stay, so joined, and no texts are written.
     ``tag`` is ``TAG`` of the text, to find its row again where ids repeat.
     """
     documents = df.select("doc_id", "text")
@@ -353,7 +356,8 @@ def deduplicate(df: DataFrame, size: int = SIZE, anchor: int = ANCHOR, digest: b
         rows = []
         for z, covered, starts in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
             places = np.concatenate([np.frombuffer(read(covered), "<i4"), np.array(starts or [], np.int32)]).astype(np.int64)
-            rows.append(_result(read(z).split(), places, size, digest))
+            text = read(z)
+            rows.append(_result(text, text.split(), places, size, digest))
         columns = dict(zip(("n_words", "n_removed", "kept"), map(list, zip(*rows))))
         return {"doc_id": batch.column(0), "tag": batch.column(1), **columns}
 
