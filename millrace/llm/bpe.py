@@ -27,7 +27,7 @@ from millrace.llm.batches import map_batches
 #: Below this code point the split pattern means the same in every Unicode version.
 STABLE = 0x530
 #: Words and pairs remembered by a worker. Only speed depends on it.
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -134,17 +134,20 @@ class Codec:
 
     def _merge(self, text: str) -> list[int]:
         """Tokens of one split piece, given as one character per byte."""
-        fits, lengths = self.fits, self.lengths
+        fits, known, size, lengths = self.fits, self.pairs.get, self.size, self.lengths
         greedy = [token for _, token in self.tokens.iter_long(text)]
-        made, at, end, dead, token = [], 0, len(text), set(), greedy[0]
+        made, last = [], -1
         for token in greedy:
-            if made and not fits(made[-1], token):
+            if last >= 0 and not (known(last * size + token) or fits(last, token)):
                 break
             made.append(token)
-            at += lengths[token]
+            last = token
+        else:
+            return made
+        at, end, dead = sum([lengths[t] for t in made]), len(text), set()
         while at < end:
             stop = at + lengths[token]
-            if stop not in dead and (not made or fits(made[-1], token)):
+            if stop not in dead and (not made or known(made[-1] * size + token) or fits(made[-1], token)):
                 made.append(token)
                 at = stop
                 if at < end:
@@ -180,6 +183,12 @@ class Codec:
             made = self._bytes(" " + chunk)
         elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
             return None
+        elif "\n" in chunk:  # one break between two words is a piece of its own
+            left, _, right = chunk.partition("\n")
+            if left[-1].isspace() or right[0].isspace():
+                return b"".join(map(self._word, self._pieces(" " + chunk)))
+            before = self.chunks.get(left) or self._chunk(left)
+            return before + self._word("\n") + b"".join(map(self._word, [right] if right.isalpha() else self._pieces(right)))
         elif chunk[-1] in ",." and chunk[:-1].isalpha():
             made = (self.chunks.get(chunk[:-1]) or self._chunk(chunk[:-1])) + self._word(chunk[-1])
             if len(chunk) > 12:  # long words with a stop after them seldom return
