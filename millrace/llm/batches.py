@@ -29,6 +29,7 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: s
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(made[f.name], f.type, from_pandas=False) for f in target], schema=target
                 )
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return df.mapInArrow(run, StructType.fromDDL(schema))
 

@@ -44,9 +44,9 @@ SEED = 7
 #: Entries that are seated together in a task; a subtree is never cut.
 BLOCK_ROWS = 200_000
 #: Characters of text per scoring chunk, on average.
-CHUNK_CHARS = 24_000_000
+CHUNK_CHARS = 12_000_000
 #: Characters whose places are held in work arrays at a time.
-STEP = 1_000_000
+STEP = 500_000
 #: Probabilities travel as whole numbers of this part of a decimal digit, which pack well.
 PARTS = 10_000_000
 PAD = b"\n" * ORDER
@@ -358,6 +358,7 @@ def score(df: DataFrame, model: Model) -> DataFrame:
             out["n_tokens"] += (sizes + 1).tolist()
         columns = [left.column("doc_id"), left.column("held_out"), pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_known"], pa.int64())]
         columns += [pa.array([size] * len(rows), pa.int64()), pa.array(out["base_score"]), pa.array(out["score"])]
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return texts.groupBy("chunk").cogroup(fetched.groupBy("chunk")).applyInArrow(judge, schema)
