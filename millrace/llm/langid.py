@@ -1,7 +1,8 @@
 """Language identification by cross-parsing entropy.
 
 A suffix automaton of each language's labelled sample reads a text from left to
-right and cuts it into phrases, each the longest match that the sample holds.
+right and cuts it into phrases, each the longest match that the sample holds (a
+symbol that it lacks joins the phrase after it).
 Phrases times the bits that one of them costs, over the symbols read, estimates
 the cross entropy; the language with the least wins. Texts are read whole, in
 stretches of ``STRETCH`` symbols that run through the automata side by side.
@@ -134,7 +135,7 @@ class Automata:
         """Phrases per language and text."""
         lanes = -(-counts // STRETCH)
         owner = np.repeat(np.arange(len(counts)), lanes)
-        if not len(owner):
+        if not len(owner) or not self.langs:
             return np.zeros((len(self.langs), len(counts)))
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         start = np.repeat(np.cumsum(counts) - counts, lanes) + nth * STRETCH
