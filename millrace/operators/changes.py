@@ -8,6 +8,8 @@ side and no task ever holds a key's whole history.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,15 @@ UPSERT, DELETE, SKIP = "upsert", "delete", "skip"
 
 
 def _order(order: list[str]) -> Column:
-    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    """The order value; a change without any is refused, since it would be lost without a trace.
+
+    Where there are several columns, a null in one of them comes first.
+    """
+    refused = F.raise_error(F.lit(f"a change has no value in {', '.join(order)}"))
+    if len(order) == 1:
+        return F.coalesce(F.col(order[0]), refused)
+    known = reduce(Column.__or__, [F.col(c).isNotNull() for c in order])
+    return F.when(known, F.struct(*order)).otherwise(refused)
 
 
 def fold_changes(
@@ -32,7 +42,7 @@ def fold_changes(
 
     ``merged`` columns keep the latest non-null value since the last delete;
     ``replaced`` columns take the last upsert's value even when it is null.
-    ``order`` is unique per key and never null.
+    ``order`` is unique per key; a row that is null in all of it is refused.
 
     Added columns: ``wiped`` (a delete happened), ``live`` (an upsert follows the
     last delete), ``first_upsert``, ``last_upsert``, ``last_delete``, ``changes``.

@@ -166,7 +166,8 @@ def _merge_unique(target: DataFrame, folded: DataFrame, rule: MergeRule) -> Data
     both = target.withColumn("_old", F.lit(True)).join(effect, keys, "full_outer")
     hit = F.coalesce("_hit", F.lit(False))
     updated = hit & F.col("_old").isNotNull() & ~F.col("wiped")
-    stays = ~hit | F.col("live") | updated
+    fresh = hit & F.col("_old").isNull() & F.col("live") & ~F.col("wiped")
+    stays = ~hit | updated | fresh
 
     def value(c: str) -> Column:
         old, new = F.col(c), F.col(f"_n_{c}")
@@ -184,7 +185,16 @@ def _merge_unique(target: DataFrame, folded: DataFrame, rule: MergeRule) -> Data
             result = F.when(~hit | updated, old)
         return result.cast(target.schema[c].dataType).alias(c)
 
-    return both.where(stays).select(*[value(c) for c in target.columns])
+    def again(c: str) -> Column:
+        if c in rule.stamps:
+            result = rule.stamps[c]
+        else:
+            result = F.col(c) if c in (*keys, *given) else F.lit(None)
+        return result.cast(target.schema[c].dataType).alias(c)
+
+    # A key that was deleted and came back is one row, however often the target held it.
+    reborn = folded.where("wiped and live").select(*[again(c) for c in target.columns])
+    return reborn.unionByName(both.where(stays).select(*[value(c) for c in target.columns]))
 
 
 def resolve(target: DataFrame, folded: DataFrame, keys: list[str], small: bool = False) -> DataFrame:

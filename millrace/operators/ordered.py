@@ -8,6 +8,7 @@ by itself and a small carry per (key, chunk) joins the pieces together.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,9 +43,13 @@ def join_carry(chunked: DataFrame, carry: DataFrame, keys: list[str], chunks: in
     Range chunks are contiguous, so a chunk continues at most one key: the carry
     has fewer rows than there are chunks, which is the bound for broadcasting.
     """
+    by = [*keys, CHUNK]
+    carry = carry.withColumnsRenamed({c: f"_c_{c}" for c in by})
     if chunks <= BROADCAST_CHUNKS:
         carry = F.broadcast(carry)
-    return chunked.join(carry, [*keys, CHUNK], "left")
+    # A null key is a key here, as it is to a window.
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in by])
+    return chunked.join(carry, same, "left").drop(*[f"_c_{c}" for c in by])
 
 
 def running_sum(

@@ -33,9 +33,14 @@ def _new_changes(bank: Bank) -> DataFrame:
 
 def members_before(bank: Bank) -> DataFrame:
     """Golden records built from the first half of the changes."""
+    return members_of(_old_changes(bank))
+
+
+def members_of(changes: DataFrame) -> DataFrame:
+    """Golden records built from changes alone."""
     rule = member_rule(at(BEFORE_TS))
     # Numbering counts its rows first; the fold is cut off so that it runs once.
-    live = cut_lineage(rule.fold(_old_changes(bank), _ORDER).where("live"))
+    live = cut_lineage(rule.fold(changes, _ORDER).where("live"))
     return number_rows(live, ["born"], "member_id").select(
         "member_id", *_KEYS, *MEMBER_ATTRIBUTES,
         F.lit("EXTERNAL").alias("source_system"), at(BEFORE_TS).alias("updated_at"), "source_updated_at",

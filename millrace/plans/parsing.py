@@ -61,6 +61,30 @@ def corrupt_messages(bank: Bank) -> DataFrame:
     )
 
 
+_FAULTS = """case update_id % 7 when 0 then 'corrupt' when 1 then 'unknown operation' when 2 then 'bad time'
+    when 3 then 'no row image' end"""
+
+
+def _faulty_messages(bank: Bank) -> DataFrame:
+    """Envelope messages of which four in seven cannot be read, each in its own way."""
+    kind = F.col("update_id") % 7
+    time = F.when(kind == 2, "soon").when(kind == 4, F.unix_millis(F.col("source_ts").cast("timestamp")).cast("string"))
+    image = F.struct("update_id", "ssn_last4", "last_name", F.coalesce(time, F.col("source_ts").cast("string")).alias("source_ts"))
+    event = F.struct(F.when(kind == 1, "t").otherwise("c").alias("op"), F.when(kind != 3, image).alias("after"))
+    return bank.member_updates.select("update_id", F.when(kind == 0, "{cut").otherwise(F.to_json(event)).alias("value"))
+
+
+@query("event_rejects", f"select update_id, {_FAULTS} as reason from member_updates where update_id % 7 < 4")
+def event_rejects(bank: Bank) -> DataFrame:
+    return envelope.rejects(_faulty_messages(bank), "envelope").select("update_id", "reason")
+
+
+@query("event_accepted", """select update_id, source_ts as source_updated_at, 'c' as op from member_updates where update_id % 7 >= 4""")
+def event_accepted(bank: Bank) -> DataFrame:
+    """Also those whose time is a number of milliseconds."""
+    return envelope.parse_envelope(_faulty_messages(bank)).select("update_id", "source_updated_at", "op")
+
+
 @query("snapshot_then_changes", """select account_id, balance, 'r' as op, 0 as phase, source_updated_at as at from accounts
     union all select account_id, balance_after, 'u', 1, txn_ts from ledger""")
 def snapshot_then_changes(bank: Bank) -> DataFrame:

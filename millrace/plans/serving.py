@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from millrace.functions import latency_ms
 from millrace.operators import metrics, reconcile, serving
 from millrace.plans.fixtures import Bank, at
-from millrace.plans.merging import MEMBER_TABLES, members_before
+from millrace.plans.merging import members_of
+from millrace.plans.oracles import fold_sql
 from millrace.plans.registry import query
 from millrace.sources import scans
 
@@ -138,15 +139,21 @@ def landing_sla_avg_s(bank: Bank) -> DataFrame:
     return metrics.mean_sla_seconds(bank.landing())
 
 
-@query("member_summary", "select count(*) as n_rows, max(updated_at) as latest from members", MEMBER_TABLES)
+_MEMBERS_NOW = {
+    "all_folded": fold_sql("changes"),
+    "members_now": "select *, timestamp '2024-02-01 00:00:00' as updated_at from all_folded where live",
+}
+
+
+@query("member_summary", "select count(*) as n_rows, max(updated_at) as latest from members_now", _MEMBERS_NOW)
 def member_summary(bank: Bank) -> DataFrame:
-    return metrics.count_and_latest(members_before(bank))
+    return metrics.count_and_latest(members_of(bank.member_changes))
 
 
 @query("member_write_latency", """select count(*) as n_rows,
-    round(avg(date_diff('millisecond', source_updated_at, updated_at)), 3) as avg_write_ms from members""", MEMBER_TABLES)
+    round(avg(date_diff('millisecond', source_updated_at, updated_at)), 3) as avg_write_ms from members_now""", _MEMBERS_NOW)
 def member_write_latency(bank: Bank) -> DataFrame:
-    return metrics.count_and_write_latency(members_before(bank))
+    return metrics.count_and_write_latency(members_of(bank.member_changes))
 
 
 @query("table_counts", """select 'accounts' as table_name, count(*) as n_rows from accounts
@@ -244,7 +251,7 @@ def rolling_percentiles(bank: Bank) -> DataFrame:
 
 
 _RATE = {
-    "entries": "select * from batch_log order by finished_ts desc, batch_no desc limit 3600",
+    "entries": "select * from batch_log",
     "newest": "select max(finished_ts) as as_of from batch_log",
 }
 
@@ -288,7 +295,7 @@ _STATUS = {
     "points": f"select path, {', '.join(_point(p, 'v') for p in (50, 95, 99))} from ranked group by path",
     "rate": """select sum(rows) filter (where epoch(date_trunc('second', as_of)) - epoch(date_trunc('second', finished_ts)) <= 60) as r60,
         sum(rows) filter (where epoch(date_trunc('second', as_of)) - epoch(date_trunc('second', finished_ts)) <= 5) as r5
-        from (select * from batch_log where path='txn' order by finished_ts desc, batch_no desc limit 3600) join newest on true""",
+        from (select * from batch_log where path='txn') join newest on true""",
 }
 
 

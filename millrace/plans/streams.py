@@ -80,7 +80,7 @@ def stream_members(bank: Bank) -> DataFrame:
     base = scratch_path(spark, "stream-members")
     table = SnapshotTable(spark, f"{base}/members", MEMBERS.schema, ("ssn_last4", "last_name"))
     rule = member_rule(at(BATCH_TS), "STREAM", carry_source_ts=False)
-    writer = MergeWriter(table, rule, ["update_id"])
+    writer = MergeWriter(table, rule, envelope.POSITION)
     for part in _parts(bank.flat_messages(), "update_id", _top(bank)):
         lines = F.coalesce("value", F.lit("null")).alias("value")
         part.select(lines).write.mode("append").text(f"{base}/events")
@@ -119,7 +119,7 @@ def stream_dedup(bank: Bank) -> DataFrame:
     landing = bank.landing().select(*_LANDING.split(", "))
     for part in _parts(landing, "txn_id", _top(bank)):
         path = _staged(bank, part.unionByName(part), base)
-        stream = first_arrivals(table_stream(bank.spark, path, landing.schema, None), "txn_ts", "31 days")
+        stream = first_arrivals(table_stream(bank.spark, path, landing.schema, None), "txn_ts", "10 minutes")
         finish(append_stream(stream, f"{base}/out", f"{base}/checkpoint", interval=None))
     return bank.spark.read.schema(landing.schema).parquet(f"{base}/out")
 

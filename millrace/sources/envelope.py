@@ -80,57 +80,81 @@ def split_corrupt(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events.where(~bad), events.where(bad)
 
 
+#: The order of changes: source time, then position in the topic; folders have no position, so ids break ties.
+POSITION = ["source_ts_ms", "partition", "offset", "update_id"]
+_OPS = ("c", "u", "r", "d")
+
+
+def source_time(text: Column) -> Column:
+    """A time sent as text or as milliseconds since 1970; null where it is neither."""
+    ms = F.timestamp_millis(text.try_cast("long")).cast("timestamp_ntz")
+    return F.when(text.rlike(r"^-?\d{1,15}$"), ms).otherwise(text.try_cast("timestamp_ntz"))
+
+
+def _judged(df: DataFrame, form: str, value: str) -> DataFrame:
+    """Parsed events with ``_op``, ``_image``, ``_deleted``, ``_ms`` and ``_reason``, null where all is well."""
+    if form == "flat":
+        events = read_events(df, FLAT_EVENT, value)
+        p = F.col("e.payload")
+        parts = {"_op": p["__op"], "_image": p, "_deleted": is_true_text(p["__deleted"]), "_ms": p["__source_ts_ms"]}
+        known = p["__op"].isNull() | p["__op"].isin(*_OPS)
+    else:
+        field = "op" if form == "envelope" else "operation"
+        events = read_events(df, envelope_schema(op_field=field), value)
+        op = F.col(f"e.{field}")
+        if form == "custom":
+            word = F.lower(F.trim(op))
+            op = F.when(word == "insert", "c").when(word == "update", "u").when(word == "delete", "d")
+        image = F.when(op == "d", F.col("e.before")).otherwise(F.col("e.after"))
+        parts = {"_op": op, "_image": image, "_deleted": op == "d", "_ms": F.col("e.source.ts_ms")}
+        known = F.coalesce(op.isin(*_OPS), F.lit(False))
+    time = F.col("_image.source_ts")
+    reason = (
+        F.when(F.col("e").isNull() | F.col("e._corrupt").isNotNull(), "corrupt")
+        .when(~F.col("_known"), "unknown operation")
+        .when(F.col("_image").isNull(), "no row image")
+        .when(time.isNotNull() & source_time(time).isNull(), "bad time")
+    )
+    return events.withColumns({**parts, "_known": known}).withColumn("_reason", reason)
+
+
+def parse(df: DataFrame, form: str, value: str = "value") -> DataFrame:
+    """Change rows of one form (flat, envelope or custom), with topic positions where ``df`` has them."""
+    good = _judged(df, form, value).where(F.col("_reason").isNull())
+    image, held = F.col("_image"), [c for c in ("partition", "offset") if c in df.columns]
+    return good.select(
+        image["update_id"].alias("update_id"),
+        trimmed_key(image["ssn_last4"]).alias("ssn_last4"),
+        blank_if_null(image["last_name"]).alias("last_name"),
+        *[image[c].alias(c) for c in MEMBER_ATTRIBUTES],
+        image["operation"].alias("operation"),
+        source_time(image["source_ts"]).alias("source_updated_at"),
+        F.col("_op").alias("op"),
+        F.col("_deleted").alias("is_delete"),
+        F.col("_ms").alias("source_ts_ms"),
+        *held,
+    )
+
+
+def rejects(df: DataFrame, form: str, value: str = "value") -> DataFrame:
+    """The columns of ``df`` and a ``reason`` for each event that ``parse`` leaves out; tombstones are no events."""
+    bad = _judged(df, form, value).where(F.col("_reason").isNotNull())
+    return bad.select(*df.columns, F.col("_reason").alias("reason"))
+
+
 def parse_flat(df: DataFrame, value: str = "value") -> DataFrame:
     """Flat form: the row's fields in ``payload`` next to ``__op`` and ``__deleted``."""
-    p = F.col("e.payload")
-    events = split_corrupt(read_events(df, FLAT_EVENT, value))[0]
-    return _change_rows(
-        events,
-        p,
-        op=p["__op"],
-        deleted=is_true_text(p["__deleted"]),
-        source_ms=p["__source_ts_ms"],
-    )
+    return parse(df, "flat", value)
 
 
 def parse_envelope(df: DataFrame, value: str = "value") -> DataFrame:
     """Before/after form with ``op`` c, u, r or d; deletes take keys from ``before``."""
-    events = split_corrupt(read_events(df, envelope_schema(), value))[0]
-    return _from_images(events, F.col("e.op"))
+    return parse(df, "envelope", value)
 
 
 def parse_custom(df: DataFrame, value: str = "value") -> DataFrame:
     """Before/after form whose ``operation`` is insert, update or delete."""
-    events = split_corrupt(read_events(df, envelope_schema(op_field="operation"), value))[0]
-    word = F.col("e.operation")
-    op = F.when(word == "insert", "c").when(word == "update", "u").when(word == "delete", "d")
-    return _from_images(events, op)
-
-
-def _from_images(events: DataFrame, op: Column) -> DataFrame:
-    known = events.withColumn("_op", op).where(F.col("_op").isin("c", "u", "r", "d"))
-    image = F.when(F.col("_op") == "d", F.col("e.before")).otherwise(F.col("e.after"))
-    return _change_rows(
-        known.withColumn("_image", image),
-        F.col("_image"),
-        op=F.col("_op"),
-        deleted=F.col("_op") == "d",
-        source_ms=F.col("e.source.ts_ms"),
-    )
-
-
-def _change_rows(df: DataFrame, image: Column, op: Column, deleted: Column, source_ms: Column) -> DataFrame:
-    return df.select(
-        image["update_id"].alias("update_id"),
-        trimmed_key(image["ssn_last4"]).alias("ssn_last4"),
-        blank_if_null(image["last_name"]).alias("last_name"),
-        *[image[c].alias(c) for c in MEMBER_ATTRIBUTES],
-        image["operation"].alias("operation"),
-        image["source_ts"].cast("timestamp_ntz").alias("source_updated_at"),
-        op.alias("op"),
-        deleted.alias("is_delete"),
-        source_ms.alias("source_ts_ms"),
-    )
+    return parse(df, "custom", value)
 
 
 def normalise_polled(df: DataFrame) -> DataFrame:
