@@ -10,12 +10,26 @@ from pyspark.sql.types import StructType
 
 #: Characters of text that one step of a task holds in its work arrays.
 STEP_CHARS = 2_000_000
+ROWS_PER_BATCH = 1000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of its session cut to ``ROWS_PER_BATCH`` rows, unless the user chose a size.
+
+    Rows here are whole texts, so the default of 10,000 would hold tens of
+    megabytes several times over, in the executor and in its Python worker.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_ROWS) == "10000":
+        conf.set(ARROW_ROWS, str(ROWS_PER_BATCH))
+    return df
+
+
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """Apply ``work`` to each Arrow batch; it returns the columns of ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -31,7 +45,7 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: s
                 )
         pa.default_memory_pool().release_unused()  # the worker lives on
 
-    return df.mapInArrow(run, StructType.fromDDL(schema))
+    return bounded(df).mapInArrow(run, StructType.fromDDL(schema))
 
 
 def pieces(texts: list, limit: int = STEP_CHARS) -> Iterator[tuple[int, int]]:

@@ -27,7 +27,7 @@ from millrace.llm.batches import map_batches
 #: Below this code point the split pattern means the same in every Unicode version.
 STABLE = 0x530
 #: Words and pairs remembered by a worker. Only speed depends on it.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 
 
 def byte_letters() -> dict[str, int]:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from millrace.llm.batches import map_batches
+from millrace.llm.batches import bounded, map_batches
 from millrace.llm.phrases import BASE, mixed
 from millrace.session import scratch_path
 
@@ -150,7 +150,7 @@ def against_next(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist([end("last", last)], target)
 
     path = scratch_path(df.sparkSession, "fingerprints")
-    dealt.mapInArrow(run, schema).write.parquet(path)
+    bounded(dealt).mapInArrow(run, schema).write.parquet(path)
     made = df.sparkSession.read.schema(schema).parquet(path)
     columns = [f.name for f in StructType.fromDDL(result)]
     # One row for each range, without texts.

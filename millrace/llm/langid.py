@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from millrace.llm.batches import pieces
+from millrace.llm.batches import bounded, pieces
 
 UNKNOWN = "und"
 #: Symbols of a text that are parsed in one go; every text is cut alike.
@@ -197,5 +197,6 @@ def predict(df: DataFrame, samples: Samples, text_col: str = "text") -> DataFram
             columns = [batch.column(c) for c in kept]
             columns += [pa.array(made[0], pa.string()), pa.array(made[1], pa.float64()), pa.array(made[2], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *dict(added)])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
-    return source.mapInArrow(run, schema)
+    return bounded(source).mapInArrow(run, schema)

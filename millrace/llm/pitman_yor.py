@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from millrace.llm.batches import map_batches, pieces
+from millrace.llm.batches import bounded, map_batches, pieces
 from millrace.llm.substrings import staged
 
 ORDER = 5  # bytes of context
@@ -50,7 +50,9 @@ STEP = 500_000
 #: Probabilities travel as whole numbers of this part of a decimal digit, which pack well.
 PARTS = 10_000_000
 PAD = b"\n" * ORDER
-GRAM, WORD = 0, 1
+GRAM, WORD, UNLEARNED = 0, 1, 2
+#: Distinct entries that a task holds before it sends them.
+MOST_HELD = 2_000_000
 
 
 def tokens(text: str | bytes | None) -> list[bytes]:
@@ -83,25 +85,34 @@ def hashes(words: list[bytes]) -> np.ndarray:
 def counts(df: DataFrame) -> DataFrame:
     """(kind, key, n): bytes in context of all texts, with their learned number, and learned words."""
 
-    def work(batch: pa.RecordBatch) -> dict:
-        texts, learned = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        found: list[tuple[int, np.ndarray, np.ndarray]] = []
-        for flag in (True, False):
-            some = [t for t, f in zip(texts, learned) if bool(f) == flag]
-            parts, words = Tally(), Tally()
-            for a, b in pieces(some, STEP):
-                split = [tokens(t) for t in some[a:b]]
-                parts.add(grams(split)[0])
-                if flag:
-                    words.add(hashes([w for s in split for w in s]))
-            found += [(kind, *t.total()) for kind, t in ((GRAM, parts), (WORD, words))]
-        kinds = np.concatenate([np.full(len(k), kind, np.int32) for kind, k, _ in found])
-        totals = [n for _, _, n in found]
-        if len(texts) != sum(map(bool, learned)):  # those not learned come last and count nothing
-            totals[-2] = np.zeros_like(totals[-2])
-        return {"kind": kinds, "key": np.concatenate([k for _, k, _ in found]), "n": np.concatenate(totals)}
-
-    rows = map_batches(df.select("text", "learn"), work, "kind int, key long, n long")
+    names, kinds = ["kind", "key", "n"], (GRAM, WORD, UNLEARNED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tallies = [Tally() for _ in kinds]
+        for batch in batches:
+            for flag in (True, False):
+                some = [t.as_py() for t, f in zip(batch.column(0), batch.column(1)) if bool(f.as_py()) == flag]
+                for a, b in pieces(some, STEP):
+                    split = [tokens(t) for t in some[a:b]]
+                    tallies[0 if flag else 2].add(grams(split)[0])
+                    if flag:
+                        tallies[1].add(hashes([w for s in split for w in s]))
+            if sum(map(len, tallies)) > MOST_HELD:
+                yield from flush(tallies)
+                tallies = [Tally() for _ in kinds]
+        yield from flush(tallies)
+
+    def flush(tallies: list[Tally]) -> Iterator[pa.RecordBatch]:
+        for kind, tally in zip(kinds, tallies):
+            keys, counts = tally.total()
+            if kind == UNLEARNED:
+                kind, counts = GRAM, np.zeros_like(counts)
+            for at in range(0, len(keys), 100_000):
+                part = keys[at : at + 100_000]
+                columns = [np.full(len(part), kind, np.int32), part, counts[at : at + 100_000]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    rows = bounded(df.select("text", "learn")).mapInArrow(run, StructType.fromDDL("kind int, key long, n long"))
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -118,6 +129,9 @@ class Tally:
         if sum(map(len, self.keys[1:])) >= STEP:
             self.total()
 
+    def __len__(self) -> int:
+        return sum(map(len, self.keys))
+
     def total(self) -> tuple[np.ndarray, np.ndarray]:
         if len(self.keys) > 1:
             keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
@@ -303,23 +317,34 @@ def score(df: DataFrame, model: Model) -> DataFrame:
     )
     texts = small.repartition(dealt, "chunk")
 
-    def wanted(batch: pa.RecordBatch) -> dict:
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = zstandard.ZstdDecompressor().decompress
-        chunk_of = batch.column(2).to_numpy()
-        made = []
-        for number in np.unique(chunk_of).tolist():
-            some = [read(batch.column(3)[i].as_py()) for i in np.flatnonzero(chunk_of == number).tolist()]
-            held, words = Tally(), Tally()
-            for a, b in pieces(some, STEP):
-                split = [tokens(t) for t in some[a:b]]
-                held.add(grams(split)[0])
-                words.add(hashes([w for s in split for w in s]))
-            for kind, keys in ((GRAM, held.total()[0]), (WORD, words.total()[0])):
-                made.append((np.full(len(keys), number, np.int32), np.full(len(keys), kind, np.int32), keys))
-        return dict(zip(("chunk", "kind", "key"), (np.concatenate(x) for x in zip(*made))))
+        held: dict[int, tuple[Tally, Tally]] = {}
+        for batch in batches:
+            chunk_of = batch.column(2).to_numpy()
+            for number in np.unique(chunk_of).tolist():
+                some = [read(batch.column(3)[i].as_py()) for i in np.flatnonzero(chunk_of == number).tolist()]
+                found, words = held.setdefault(number, (Tally(), Tally()))
+                for a, b in pieces(some, STEP):
+                    split = [tokens(t) for t in some[a:b]]
+                    found.add(grams(split)[0])
+                    words.add(hashes([w for s in split for w in s]))
+            if sum(len(t) for both in held.values() for t in both) > MOST_HELD:
+                yield from ask(held)
+                held = {}
+        yield from ask(held)
+
+    def ask(held: dict[int, tuple[Tally, Tally]]) -> Iterator[pa.RecordBatch]:
+        for number, both in held.items():
+            for kind, tally in zip((GRAM, WORD), both):
+                keys = tally.total()[0]
+                for at in range(0, len(keys), 100_000):
+                    part = keys[at : at + 100_000]
+                    columns = [np.full(len(part), number, np.int32), np.full(len(part), kind, np.int32), part]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["chunk", "kind", "key"])
 
     # All columns of texts, so that one shuffle of them serves both sides.
-    asked = map_batches(texts, wanted, "chunk int, kind int, key long")
+    asked = texts.mapInArrow(wanted, StructType.fromDDL("chunk int, kind int, key long"))
     fetched = asked.join(model.entries, ["kind", "key"]).select("chunk", "kind", "key", "value")
     size, learned = model.learned_tokens, model.learned_texts
     floor = size + model.learned_types + 1
