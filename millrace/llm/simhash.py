@@ -16,25 +16,29 @@ columns are ignored and an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from millrace.llm.batches import map_batches
+from millrace.llm.batches import bounded, map_batches
 from millrace.llm.graph import components
 from millrace.llm.phrases import mixed
 from millrace.session import cut_lineage
 
 SEED = 42
 BYTES = 8
-#: Fingerprints of one list that a task compares at a time; longer lists are split into pairs of blocks.
-BLOCK = 2048
+#: Fingerprints of one list that a task compares by itself; longer lists are split into pairs of blocks.
+LIST = 16_384
+BLOCK = 4096
+EDGES = "kind int, a long, b long, key long"
 
 
 def shingle_bits(text: str | None, words: int, seed: int) -> int:
@@ -89,7 +93,7 @@ def links(fps: DataFrame, radius: int = 4, leaders: bool = False) -> DataFrame:
     """
     if not 0 <= radius <= 4:
         raise ValueError("the position triples are complete up to a radius of four bits")
-    least = BYTES - radius
+    least, most = BYTES - radius, LIST
     at = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(255)
     keys = [
         F.lit(n << 24).bitwiseOR(F.shiftleft(at(p), 16)).bitwiseOR(F.shiftleft(at(q), 8)).bitwiseOR(at(r))
@@ -97,30 +101,65 @@ def links(fps: DataFrame, radius: int = 4, leaders: bool = False) -> DataFrame:
     ]
     keys = [F.shiftleft(F.col("kind").cast("long"), 32).bitwiseOR(k) for k in keys]
     index = fps.select("kind", "fp").distinct().select("fp", F.explode(F.array(*keys)).alias("key"))
-    sizes = index.groupBy("key").count().where("count > 1")
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    shared = index.join(sizes, "key").select("key", "fp", blocks.alias("blocks"))
+    listed = index.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, passed_on = np.zeros((0, 5), np.int64), None
+        for batch in batches:
+            rows = np.zeros((len(held) + batch.num_rows, 5), np.int64)
+            rows[: len(held)] = held
+            rows[len(held) :, 0] = batch.column(0).to_numpy()
+            rows[len(held) :, 4] = batch.column(1).to_numpy()
+            if not len(rows):
+                continue
+            bounds = [0, *(np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1).tolist()]
+            if rows[0, 0] == passed_on:  # the rest of a list that is too long for one task
+                stop = bounds[1] if len(bounds) > 1 else len(rows)
+                yield _open(rows[:stop])
+                bounds = bounds[1:]
+            if not bounds:
+                held = rows[:0]
+                continue
+            yield _edges(rows, bounds, least, radius, leaders)
+            held = rows[bounds[-1] :]
+            if len(held) > most:
+                yield _open(held)
+                passed_on, held = int(held[0, 0]), rows[:0]
+        if len(held):
+            yield _edges(held, [0, len(held)], least, radius, leaders)
+
+    found = cut_lineage(bounded(listed).mapInArrow(lists, StructType.fromDDL(EDGES)))
+    long = found.where("key is not null").select("key", F.col("a").alias("fp"))
+    sizes = long.groupBy("key").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
+    shared = long.join(sizes, "key").select("key", "fp", "blocks")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     spread = shared.select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tasks = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
     ordered = tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held = np.zeros((0, 5), np.int64)
         for batch in batches:
             rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(5)], 1)
             if not len(rows):
                 continue
-            if held:
-                rows = np.concatenate([*held, rows])
-            changes = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1)) + 1
-            bounds = [0, *changes.tolist()]
+            rows = np.concatenate([held, rows])
+            bounds = [0, *(np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1)) + 1).tolist()]
             yield _edges(rows, bounds, least, radius, leaders)
-            held = [rows[bounds[-1] :]]
-        if held:
-            yield _edges(held[0], [0, len(held[0])], least, radius, leaders)
+            held = rows[bounds[-1] :]
+        if len(held):
+            yield _edges(held, [0, len(held)], least, radius, leaders)
+
+    pairs = ordered.mapInArrow(run, StructType.fromDDL(EDGES)).unionByName(found.where("key is null"))
+    return pairs.select("kind", "a", "b").distinct()
 
-    return ordered.mapInArrow(run, StructType.fromDDL("kind int, a long, b long")).distinct()
+
+def _open(rows: np.ndarray) -> pa.RecordBatch:
+    """Entries of a list that is left to pairs of blocks."""
+    nothing = pa.nulls(len(rows), pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.nulls(len(rows), pa.int32()), pa.array(rows[:, 4]), nothing, pa.array(rows[:, 0])], names=["kind", "a", "b", "key"]
+    )
 
 
 def _edges(rows: np.ndarray, bounds: list[int], least: int, radius: int, leaders: bool) -> pa.RecordBatch:
@@ -132,8 +171,8 @@ def _edges(rows: np.ndarray, bounds: list[int], least: int, radius: int, leaders
             kind = int(group[0, 0] >> 32)
             made += [(kind, a, b) for a, b in join(group[:, 4], group[:, 3], group[0, 1], group[0, 2], least, radius)]
     return pa.RecordBatch.from_arrays(
-        [pa.array([m[0] for m in made], pa.int32()), *(pa.array([m[n] for m in made], pa.int64()) for n in (1, 2))],
-        names=["kind", "a", "b"],
+        [pa.array([m[0] for m in made], pa.int32()), *(pa.array([m[n] for m in made], pa.int64()) for n in (1, 2)), pa.nulls(len(made), pa.int64())],
+        names=["kind", "a", "b", "key"],
     )
 
 
@@ -208,7 +247,7 @@ def shingle_hashes(text: str | None, words: int) -> list[int]:
     return [xxhash.xxh64_intdigest(s, SEED) - (1 << 63) for s in found]
 
 
-def near_copies(df: DataFrame, words: int = 5, similarity: float = 0.8, kinds: int = 6, radius: int = 4) -> DataFrame:
+def near_copies(df: DataFrame, words: int = 5, similarity: float = 0.8, kinds: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, component_id): documents in groups of texts whose shingle sets have a Jaccard ``similarity`` or more.
 
     Documents alone in their group and rows without an id are left out. A pair is
@@ -218,16 +257,18 @@ def near_copies(df: DataFrame, words: int = 5, similarity: float = 0.8, kinds: i
     text here, whatever their number.
     """
     known = df.where("doc_id is not null").select("doc_id", "text")
-    same = F.sha2(F.coalesce("text", F.lit("")), 256)
-    named = cut_lineage(known.select("doc_id", same.alias("h")).groupBy("h").agg(F.min("doc_id").alias("first")))
-    firsts = known.join(named.select(F.col("first").alias("doc_id")), "doc_id").withColumn("h", same).dropDuplicates(["h"])
+    kind_of_id = df.schema["doc_id"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column(0), "fps": [word_fingerprints(t.as_py(), kinds) for t in batch.column(1)]}
-
-    kind_of_id = df.schema["doc_id"].dataType.simpleString()
-    found = map_batches(firsts.select("doc_id", "text"), work, f"doc_id {kind_of_id}, fps array<long>")
-    fps = cut_lineage(found.select("doc_id", F.posexplode("fps").alias("kind", "fp")))
+        texts = [t.as_py() for t in batch.column(1)]
+        return {
+            "doc_id": batch.column(0), "h": [hashlib.sha256((t or "").encode()).digest() for t in texts],
+            "fps": [word_fingerprints(t, kinds) for t in texts],
+        }
+
+    every = cut_lineage(map_batches(known, work, f"doc_id {kind_of_id}, h binary, fps array<long>"))
+    named = every.groupBy("h").agg(F.min("doc_id").alias("first"), F.any_value("fps").alias("fps"))
+    fps = cut_lineage(named.select(F.col("first").alias("doc_id"), F.posexplode("fps").alias("kind", "fp")))
     least = cut_lineage(fps.groupBy("kind", "fp").agg(F.min("doc_id").alias("least")))
     pairs = links(least, radius, leaders=True)
     end = lambda name, to: least.select("kind", F.col("fp").alias(name), F.col("least").alias(to))
@@ -236,16 +277,21 @@ def near_copies(df: DataFrame, words: int = 5, similarity: float = 0.8, kinds: i
     pairs = between.unionByName(inside).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     pairs = cut_lineage(pairs.distinct())
 
+    def squeezed(batch: pa.RecordBatch) -> dict:
+        press = zstandard.ZstdCompressor(level=3).compress
+        return {"doc_id": batch.column(0), "z": [press((t.as_py() or "").encode()) for t in batch.column(1)]}
+
     def sets(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column(0), "s": [shingle_hashes(t.as_py(), words) for t in batch.column(1)]}
+        read = zstandard.ZstdDecompressor().decompress
+        return {"doc_id": batch.column(0), "s": [shingle_hashes(read(z.as_py()).decode(), words) for z in batch.column(1)]}
 
     asked = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
-    some = map_batches(firsts.join(asked, "doc_id").select("doc_id", "text"), sets, f"doc_id {kind_of_id}, s array<long>")
-    some = cut_lineage(some)
+    small = map_batches(known, squeezed, f"doc_id {kind_of_id}, z binary").join(asked, "doc_id")
+    some = cut_lineage(map_batches(small, sets, f"doc_id {kind_of_id}, s array<long>"))
     one = some.select(F.col("doc_id").alias("x"), F.col("s").alias("s_x"))
     two = some.select(F.col("doc_id").alias("y"), F.col("s").alias("s_y"))
     both = F.size(F.array_intersect("s_x", "s_y"))
     alike = pairs.join(one, "x").join(two, "y").where(both >= similarity * (F.size("s_x") + F.size("s_y") - both))
-    copies = known.withColumn("h", same).join(named, "h").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    copies = every.join(named, "h").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     groups = components(alike.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(copies))
     return groups.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "component_id")

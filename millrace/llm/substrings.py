@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from millrace.llm.batches import map_batches
+from millrace.llm.batches import bounded, map_batches
 from millrace.llm.phrases import Windows, mixed, split
 from millrace.session import scratch_path
 
@@ -170,15 +170,21 @@ def covered_words(count: int, starts: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(steps)[:-1] > 0
 
 
-def packed(df: DataFrame) -> DataFrame:
-    """(doc_id, tag, z): texts compressed for the way through the shuffle; a null text is empty."""
+def packed(df: DataFrame, extra: list[str]) -> DataFrame:
+    """(doc_id, tag, z, extra): texts compressed for the way through the shuffle; a null text is empty."""
 
     def work(batch: pa.RecordBatch) -> dict:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         texts = [(t.as_py() or "").encode() for t in batch.column(1)]
-        return {"doc_id": batch.column(0), "tag": batch.column(2), "z": [squeeze(t) for t in texts]}
+        kept = {c: batch.column(c) for c in extra}
+        return {"doc_id": batch.column(0), "tag": batch.column(2), "z": [squeeze(t) for t in texts], **kept}
 
-    return map_batches(df.select("doc_id", "text", F.expr(TAG).alias("tag")), work, f"doc_id {_kind(df)}, tag int, z binary")
+    rows = df.select("doc_id", "text", F.expr(TAG).alias("tag"), *extra)
+    return map_batches(rows, work, f"doc_id {_kind(df)}, tag int, z binary" + _types(df, extra))
+
+
+def _types(df: DataFrame, columns: list[str]) -> str:
+    return "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
 def with_lists(texts: DataFrame, lists: DataFrame) -> DataFrame:
@@ -188,28 +194,31 @@ def with_lists(texts: DataFrame, lists: DataFrame) -> DataFrame:
     return texts.join(m, same, "left").drop("m_id", "m_tag")
 
 
-def _result(text: bytes, words: list[bytes], starts: np.ndarray, size: int, digest: bool) -> tuple[int, int, str]:
+def _result(text: bytes, words: list[bytes], starts: np.ndarray, size: int, digest: bool) -> tuple[int, int, bytes]:
     """Word count, number removed, and the kept words or their SHA-256; without a digest an untouched text stays as it is."""
     if not len(starts) and not digest:
-        return len(words), 0, text.decode()
+        return len(words), 0, text
     if len(starts):
         gone = covered_words(len(words), starts, size)
         left = [w for w, g in zip(words, gone.tolist()) if not g]
     else:
         left = words
     kept = b" ".join(left)
-    return len(words), len(words) - len(left), hashlib.sha256(kept).hexdigest() if digest else kept.decode()
+    return len(words), len(words) - len(left), hashlib.sha256(kept).hexdigest().encode() if digest else kept
+
 
+def first_pass(df: DataFrame, marked: DataFrame, size: int, anchor: int, digest: bool, extra: list[str]) -> DataFrame:
+    """The result of documents whose covered windows are all known; of others their contexts to be compared.
 
-def first_pass(df: DataFrame, marked: DataFrame, size: int, anchor: int, digest: bool) -> DataFrame:
-    """The result of documents whose covered windows are all known; of others their contexts to be compared."""
-    joined = with_lists(packed(df), marked).select("doc_id", "tag", "z", "repeats", "compare")
+    ``z`` holds the result (plain for a digest, else compressed) or the text of a document that waits.
+    """
+    joined = with_lists(packed(df, extra), marked).select("doc_id", "tag", "z", "repeats", "compare", *extra)
     context = "array<struct<a: long, start: int, words: string>>"
-    schema = f"doc_id {_kind(df)}, tag int, n_words long, n_removed long, kept string, z binary, covered binary, open {context}"
+    schema = f"doc_id {_kind(df)}, tag int, n_words long, n_removed long, z binary, covered binary, open {context}" + _types(df, extra)
 
     def work(batch: pa.RecordBatch) -> dict:
-        read = zstandard.ZstdDecompressor().decompress
-        out = {n: [] for n in ("n_words", "n_removed", "kept", "z", "covered", "open")}
+        read, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
+        out = {n: [] for n in ("n_words", "n_removed", "z", "covered", "open")}
         for z, repeats, compare in zip(*(batch.column(i) for i in (2, 3, 4))):
             z, repeats, compare = z.as_py(), repeats.as_py(), compare.as_py()
             text = read(z)
@@ -223,13 +232,16 @@ def first_pass(df: DataFrame, marked: DataFrame, size: int, anchor: int, digest:
                     first, last = int(found.first[run]), int(found.last[run])
                     line = b" ".join(words[first : last + size]).decode()
                     more.append({"a": int(found.anchors[run]), "start": first, "words": line})
-            made = (None, None, None) if more else _result(text, words, starts, size, digest)
-            for name, value in zip(("n_words", "n_removed", "kept"), made):
+            if more:
+                made = (None, None, z)
+            else:
+                *made, kept = _result(text, words, starts, size, digest)
+                made.append(kept if digest else squeeze(kept))
+            for name, value in zip(("n_words", "n_removed", "z"), made):
                 out[name].append(value)
-            out["z"].append(z if more else None)
             out["covered"].append(zstandard.compress(starts.astype("<i4").tobytes()) if more else None)
             out["open"].append(more)
-        return {"doc_id": batch.column(0), "tag": batch.column(1), **out}
+        return {"doc_id": batch.column(0), "tag": batch.column(1), **out, **{c: batch.column(c) for c in extra}}
 
     return map_batches(joined, work, schema)
 
@@ -256,7 +268,7 @@ def located(contexts: DataFrame, size: int) -> DataFrame:
                 held = held[len(whole) :]
         yield pa.RecordBatch.from_pylist(list(_locate(held, size)), target)
 
-    return rows.mapInArrow(run, schema)
+    return bounded(rows).mapInArrow(run, schema)
 
 
 def _locate(rows: list[dict], size: int) -> Iterator[dict]:
@@ -339,27 +351,33 @@ def compared(passed: DataFrame, size: int) -> DataFrame:
     return located(rare.select(*columns).unionByName(hot.select(*columns)), size)
 
 
-def deduplicate(df: DataFrame, size: int = SIZE, anchor: int = ANCHOR, digest: bool = False) -> DataFrame:
-    """(doc_id, tag, n_words, n_removed, kept): ``kept`` is the text, or where words went the others, joined by single spaces.
+def deduplicate(df: DataFrame, size: int = SIZE, anchor: int = ANCHOR, digest: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept, extra): ``kept`` is the text, or where words went the others, joined by single spaces.
 
     With ``digest`` it is the SHA-256 of the words that stay, so joined, and no texts are written.
-    ``tag`` is ``TAG`` of the text, to find its row again where ids repeat.
+    ``extra`` names columns of ``df`` that are carried along.
     """
-    documents = df.select("doc_id", "text")
-    passed = staged(first_pass(documents, marks(documents, size, anchor), size, anchor, digest), "passages")
+    extra = list(extra)
+    documents = df.select("doc_id", "text", *extra)
+    passed = staged(first_pass(documents, marks(documents.select("doc_id", "text"), size, anchor), size, anchor, digest, extra), "passages")
     more = compared(passed, size).groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    waiting = with_lists(passed.where("z is not null").select("doc_id", "tag", "z", "covered"), more)
-    schema = f"doc_id {_kind(df)}, tag int, n_words long, n_removed long, kept string"
+    columns = ["doc_id", "n_words", "n_removed", "z", "covered", "starts", *extra]
+    waiting = with_lists(passed.where("covered is not null"), more).select(*columns)
+    done = passed.where("covered is null").withColumn("starts", F.lit(None).cast("array<int>")).select(*columns)
+    schema = f"doc_id {_kind(df)}, n_words long, n_removed long, kept string" + _types(df, extra)
 
     def work(batch: pa.RecordBatch) -> dict:
         read = zstandard.ZstdDecompressor().decompress
         rows = []
-        for z, covered, starts in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+        for number, removed, z, covered, starts in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
+            if covered is None:
+                rows.append((number, removed, (z if digest else read(z)).decode()))
+                continue
             places = np.concatenate([np.frombuffer(read(covered), "<i4"), np.array(starts or [], np.int32)]).astype(np.int64)
             text = read(z)
-            rows.append(_result(text, text.split(), places, size, digest))
+            *counts, kept = _result(text, text.split(), places, size, digest)
+            rows.append((*counts, kept.decode()))
         columns = dict(zip(("n_words", "n_removed", "kept"), map(list, zip(*rows))))
-        return {"doc_id": batch.column(0), "tag": batch.column(1), **columns}
+        return {"doc_id": batch.column(0), **columns, **{c: batch.column(c) for c in extra}}
 
-    done = passed.where("z is null").select("doc_id", "tag", "n_words", "n_removed", "kept")
-    return done.unionByName(map_batches(waiting, work, schema))
+    return map_batches(done.unionByName(waiting), work, schema)

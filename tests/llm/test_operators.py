@@ -240,7 +240,7 @@ def test_simhash_groups(docs):
     assert Counter((r.doc_id, r.component_id) for r in found) == expected
 
 
-def test_links_are_complete(spark):
+def test_links_are_complete(spark, monkeypatch):
     rng = np.random.default_rng(7)
     base = rng.integers(0, 1 << 63, 40)
     made = set(base.tolist())
@@ -253,13 +253,11 @@ def test_links_are_complete(spark):
     made = sorted(made)
     triples = simhash.position_triples()
     assert len(triples) == 20
-    for block in (2048, 16):
-        simhash_block, simhash.BLOCK = simhash.BLOCK, block
-        try:
-            df = spark.createDataFrame([(0, x) for x in made], "kind int, fp long")
-            groups = {r.node: r.component for r in graph.components(simhash.links(df)).collect()}
-        finally:
-            simhash.BLOCK = simhash_block
+    for size in (16_384, 4):
+        monkeypatch.setattr(simhash, "LIST", size)
+        monkeypatch.setattr(simhash, "BLOCK", max(3, size // 4))
+        df = spark.createDataFrame([(0, x) for x in made], "kind int, fp long")
+        groups = {r.node: r.component for r in graph.components(simhash.links(df)).collect()}
         label = {x: x for x in made}
         for i, x in enumerate(made):
             for y in made[:i]:
