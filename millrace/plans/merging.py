@@ -231,6 +231,29 @@ def balance_breaks(bank: Bank) -> DataFrame:
     return ledger.balance_breaks(shown, bank.accounts)
 
 
-@query("ledger_replay")
+_REPLAY = {
+    "replay_rows": """select l.account_id, txn_id, l.txn_ts, l.txn_type, cast(amount * 100 as bigint) as cents,
+        txn_type in ('DEBIT', 'WITHDRAWAL', 'FEE', 'TRANSFER_OUT') as outgoing,
+        account_type in ('CHECKING', 'SAVINGS', 'MONEY_MARKET') as deposit, cast(balance * 100 as bigint) as start,
+        row_number() over (partition by l.account_id order by l.txn_ts, txn_id) as n
+        from ledger l join accounts a on a.account_id = l.account_id""",
+    # One row of each account a step; a partial debit leaves a twentieth, rounded half away from zero.
+    "replayed": """select * from (with recursive walk as (
+        select account_id, cast(0 as bigint) as n, start as before, start as after from replay_rows where n = 1
+        union all
+        select r.account_id, r.n, w.after,
+          case when w.after + cents < 100 and not outgoing then w.after
+            when deposit and w.after + cents < 0 then sign(w.after) * ((2 * abs(w.after) + 20) // 40)
+            else w.after + cents end
+        from walk w join replay_rows r on r.account_id = w.account_id and r.n = w.n + 1) select * from walk) w""",
+    "replay_booked": """select r.*, before, after, not (before + cents < 100 and not outgoing)
+        and not (deposit and before + cents < 0 and after = before) as accepted
+        from replayed w join replay_rows r on r.account_id = w.account_id and r.n = w.n""",
+}
+
+
+@query("ledger_replay", """select account_id, txn_id, txn_ts, txn_type,
+    case when accepted then cast((after - before) * 0.01 as decimal(18,2)) end as amount,
+    cast(after * 0.01 as decimal(18,2)) as balance_after, accepted from replay_booked""", _REPLAY)
 def ledger_replay(bank: Bank) -> DataFrame:
     return ledger.replay(bank.accounts, bank.transactions())
