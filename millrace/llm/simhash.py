@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -247,14 +247,20 @@ def shingle_hashes(text: str | None, words: int) -> list[int]:
     return [xxhash.xxh64_intdigest(s, SEED) - (1 << 63) for s in found]
 
 
-def near_copies(df: DataFrame, words: int = 5, similarity: float = 0.8, kinds: int = 4, radius: int = 4) -> DataFrame:
-    """(doc_id, component_id): documents in groups of texts whose shingle sets have a Jaccard ``similarity`` or more.
+def text_key(text: str) -> Column:
+    """Sixteen bytes that stand for a text; a null text counts as empty."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
+
 
-    Documents alone in their group and rows without an id are left out. A pair is
-    found if one of ``kinds`` fingerprints over single words, which move less
-    under an edit than those over shingles, links it directly or to a leader of
-    its list; it is then verified on the shingles themselves. Equal texts are one
-    text here, whatever their number.
+def near_copies(df: DataFrame, words: int = 5, similarity: float = 0.8, kinds: int = 4, radius: int = 4) -> DataFrame:
+    """(doc_id, h, kept_id, kept_h): rows in groups of texts whose shingle sets have a Jaccard ``similarity`` or more.
+
+    ``h`` is the ``text_key``; the kept row of a group has the smallest id, then
+    the smallest key. Rows alone in their group and rows without an id are left
+    out. A pair is found if one of ``kinds`` fingerprints over single words,
+    which move less under an edit than those over shingles, links it directly or
+    to a leader of its list; it is then verified on the shingles themselves.
+    Equal texts are one text here, whatever their number.
     """
     known = df.where("doc_id is not null").select("doc_id", "text")
     kind_of_id = df.schema["doc_id"].dataType.simpleString()
@@ -262,36 +268,42 @@ def near_copies(df: DataFrame, words: int = 5, similarity: float = 0.8, kinds: i
     def work(batch: pa.RecordBatch) -> dict:
         texts = [t.as_py() for t in batch.column(1)]
         return {
-            "doc_id": batch.column(0), "h": [hashlib.sha256((t or "").encode()).digest() for t in texts],
+            "doc_id": batch.column(0), "h": [hashlib.sha256((t or "").encode()).digest()[:16] for t in texts],
             "fps": [word_fingerprints(t, kinds) for t in texts],
         }
 
     every = cut_lineage(map_batches(known, work, f"doc_id {kind_of_id}, h binary, fps array<long>"))
-    named = every.groupBy("h").agg(F.min("doc_id").alias("first"), F.any_value("fps").alias("fps"))
-    fps = cut_lineage(named.select(F.col("first").alias("doc_id"), F.posexplode("fps").alias("kind", "fp")))
-    least = cut_lineage(fps.groupBy("kind", "fp").agg(F.min("doc_id").alias("least")))
+    named = cut_lineage(every.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.any_value("fps").alias("fps")))
+    fps = named.select("h", F.posexplode("fps").alias("kind", "fp"))
+    least = cut_lineage(fps.groupBy("kind", "fp").agg(F.min("h").alias("least")))
     pairs = links(least, radius, leaders=True)
     end = lambda name, to: least.select("kind", F.col("fp").alias(name), F.col("least").alias(to))
     between = pairs.join(end("a", "x"), ["kind", "a"]).join(end("b", "y"), ["kind", "b"]).select("x", "y")
-    inside = fps.join(least, ["kind", "fp"]).where("doc_id <> least").select(F.col("doc_id").alias("x"), F.col("least").alias("y"))
+    inside = fps.join(least, ["kind", "fp"]).where("h <> least").select(F.col("h").alias("x"), F.col("least").alias("y"))
     pairs = between.unionByName(inside).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     pairs = cut_lineage(pairs.distinct())
 
     def squeezed(batch: pa.RecordBatch) -> dict:
         press = zstandard.ZstdCompressor(level=3).compress
-        return {"doc_id": batch.column(0), "z": [press((t.as_py() or "").encode()) for t in batch.column(1)]}
+        texts = [(t.as_py() or "").encode() for t in batch.column(1)]
+        return {"doc_id": batch.column(0), "h": [hashlib.sha256(t).digest()[:16] for t in texts], "z": [press(t) for t in texts]}
 
     def sets(batch: pa.RecordBatch) -> dict:
         read = zstandard.ZstdDecompressor().decompress
-        return {"doc_id": batch.column(0), "s": [shingle_hashes(read(z.as_py()).decode(), words) for z in batch.column(1)]}
-
-    asked = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
-    small = map_batches(known, squeezed, f"doc_id {kind_of_id}, z binary").join(asked, "doc_id")
-    some = cut_lineage(map_batches(small, sets, f"doc_id {kind_of_id}, s array<long>"))
-    one = some.select(F.col("doc_id").alias("x"), F.col("s").alias("s_x"))
-    two = some.select(F.col("doc_id").alias("y"), F.col("s").alias("s_y"))
+        return {"h": batch.column(0), "s": [shingle_hashes(read(z.as_py()).decode(), words) for z in batch.column(1)]}
+
+    asked = pairs.select(F.col("x").alias("h")).unionByName(pairs.select(F.col("y").alias("h"))).distinct()
+    asked = asked.join(named.select("h", F.col("first").alias("doc_id")), "h")
+    small = map_batches(known, squeezed, f"doc_id {kind_of_id}, h binary, z binary").join(asked, ["doc_id", "h"])
+    some = map_batches(small.dropDuplicates(["doc_id", "h"]).select("h", "z"), sets, "h binary, s array<long>")
+    some = cut_lineage(some)
+    one = some.select(F.col("h").alias("x"), F.col("s").alias("s_x"))
+    two = some.select(F.col("h").alias("y"), F.col("s").alias("s_y"))
     both = F.size(F.array_intersect("s_x", "s_y"))
     alike = pairs.join(one, "x").join(two, "y").where(both >= similarity * (F.size("s_x") + F.size("s_y") - both))
-    copies = every.join(named, "h").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    groups = components(alike.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(copies))
-    return groups.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "component_id")
+    groups = components(alike.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "h")
+    texts = named.select("h", "first", "rows").join(groups, "h", "left").where("rows > 1 or component is not null")
+    texts = cut_lineage(texts.withColumn("component", F.coalesce("component", "h")))
+    keep = texts.groupBy("component").agg(F.min(F.struct("first", "h")).alias("k"))
+    chosen = texts.join(keep, "component").select("h", F.col("k.first").alias("kept_id"), F.col("k.h").alias("kept_h"))
+    return every.select("doc_id", "h").join(chosen, "h").select("doc_id", "h", "kept_id", "kept_h")
