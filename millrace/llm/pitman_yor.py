@@ -44,7 +44,7 @@ SEED = 7
 #: Entries that are seated together in a task; a subtree is never cut.
 BLOCK_ROWS = 200_000
 #: Characters of text per scoring chunk, on average.
-CHUNK_CHARS = 12_000_000
+CHUNK_CHARS = 20_000_000
 #: Characters whose places are held in work arrays at a time.
 STEP = 500_000
 #: Probabilities travel as whole numbers of this part of a decimal digit, which pack well.
@@ -52,7 +52,7 @@ PARTS = 10_000_000
 PAD = b"\n" * ORDER
 GRAM, WORD, UNLEARNED = 0, 1, 2
 #: Distinct entries that a task holds before it sends them.
-MOST_HELD = 2_000_000
+MOST_HELD = 4_000_000
 
 
 def tokens(text: str | bytes | None) -> list[bytes]:
