@@ -352,3 +352,29 @@ def test_empty_table(spark, name):
         "pitman": lambda: pitman_yor.score(df.withColumn("held_out", F.lit(False)), pitman_yor.train(df.withColumn("learn", F.lit(True)))),
     }
     assert made[name]().count() == 0
+
+
+def alike_groups(texts, similarity=0.8):
+    """The group of each text, by all pairs."""
+    sets = [{tuple(w[n : n + 5]) for n in range(max(1, len(w) - 4))} for w in (words(t.lower()) for t in texts)]
+    group = list(range(len(texts)))
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if group[i] != group[j] and len(s & sets[j]) >= similarity * len(s | sets[j]):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    return group
+
+
+def test_near_copies_with_added_and_removed_words(spark):
+    texts = []
+    for n, size in enumerate((60, 100, 200, 300) * 8):
+        base = prose(["w%d" % k for k in range(3000)], size, n).split()
+        more = prose(["v%d" % k for k in range(3000)], size // 5, 1000 + n).split()[: size // 5]
+        cut = len(base) // 6
+        texts += [" ".join(base), " ".join(base + more), " ".join(more + base)] if n % 2 else [" ".join(base), " ".join(base[cut:]), " ".join(base[:-cut])]
+    group = alike_groups(texts)
+    assert sum(g != n for n, g in enumerate(group)) >= 50
+    df = spark.createDataFrame([(n, t, None, None, None) for n, t in enumerate(texts)], SCHEMA).repartition(3)
+    found = {r.doc_id: r.kept_id for r in simhash.near_copies(df).collect()}
+    assert [found.get(n, n) for n in range(len(texts))] == group
