@@ -82,14 +82,12 @@ def position_triples() -> list[tuple[int, int, int]]:
     return chosen
 
 
-def links(fps: DataFrame, radius: int = 4, leaders: bool = False) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """(kind, a, b): links between distinct fingerprints (columns kind, fp) at ``radius`` bits or fewer, up to four.
 
     Only fingerprints of one kind are compared. Each list gives a spanning forest
     of its links, not all of them, so the rows stay below the index entries
     whatever the size of a group; components over them are those of all links.
-    With ``leaders`` a list gives each fingerprint's links to the leaders of the
-    list instead: those that have no link to an earlier leader.
     """
     if not 0 <= radius <= 4:
         raise ValueError("the position triples are complete up to a radius of four bits")
@@ -120,13 +118,13 @@ def links(fps: DataFrame, radius: int = 4, leaders: bool = False) -> DataFrame:
             if not bounds:
                 held = rows[:0]
                 continue
-            yield _edges(rows, bounds, least, radius, leaders)
+            yield _edges(rows, bounds, least, radius)
             held = rows[bounds[-1] :]
             if len(held) > most:
                 yield _open(held)
                 passed_on, held = int(held[0, 0]), rows[:0]
         if len(held):
-            yield _edges(held, [0, len(held)], least, radius, leaders)
+            yield _edges(held, [0, len(held)], least, radius)
 
     found = cut_lineage(bounded(listed).mapInArrow(lists, StructType.fromDDL(EDGES)))
     long = found.where("key is not null").select("key", F.col("a").alias("fp"))
@@ -145,10 +143,10 @@ def links(fps: DataFrame, radius: int = 4, leaders: bool = False) -> DataFrame:
                 continue
             rows = np.concatenate([held, rows])
             bounds = [0, *(np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1)) + 1).tolist()]
-            yield _edges(rows, bounds, least, radius, leaders)
+            yield _edges(rows, bounds, least, radius)
             held = rows[bounds[-1] :]
         if len(held):
-            yield _edges(held, [0, len(held)], least, radius, leaders)
+            yield _edges(held, [0, len(held)], least, radius)
 
     pairs = ordered.mapInArrow(run, StructType.fromDDL(EDGES)).unionByName(found.where("key is null"))
     return pairs.select("kind", "a", "b").distinct()
@@ -162,14 +160,13 @@ def _open(rows: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _edges(rows: np.ndarray, bounds: list[int], least: int, radius: int, leaders: bool) -> pa.RecordBatch:
+def _edges(rows: np.ndarray, bounds: list[int], least: int, radius: int) -> pa.RecordBatch:
     made: list[tuple[int, int, int]] = []
-    join = _stars if leaders else _forest
     for start, stop in zip(bounds, bounds[1:]):
         group = rows[start:stop]
         if len(group) > 1:
             kind = int(group[0, 0] >> 32)
-            made += [(kind, a, b) for a, b in join(group[:, 4], group[:, 3], group[0, 1], group[0, 2], least, radius)]
+            made += [(kind, a, b) for a, b in _forest(group[:, 4], group[:, 3], group[0, 1], group[0, 2], least, radius)]
     return pa.RecordBatch.from_arrays(
         [pa.array([m[0] for m in made], pa.int32()), *(pa.array([m[n] for m in made], pa.int64()) for n in (1, 2)), pa.nulls(len(made), pa.int64())],
         names=["kind", "a", "b", "key"],
@@ -198,22 +195,6 @@ def _forest(fps: np.ndarray, own: np.ndarray, i: int, j: int, least: int, radius
     return made
 
 
-def _stars(fps: np.ndarray, own: np.ndarray, i: int, j: int, least: int, radius: int) -> list[tuple[int, int]]:
-    """Links of each fingerprint to the leaders of the list, or of its block ``i`` where blocks differ."""
-    bits, made = fps.view(np.uint64), []
-    open_ = own == i
-    while open_.any():
-        leader = int(np.flatnonzero(open_)[0])
-        apart = bits ^ bits[leader]
-        shared = (apart.view(np.uint8).reshape(-1, BYTES) == 0).sum(1)
-        near = (shared >= least) & (np.bitwise_count(apart) <= radius)
-        for other in np.flatnonzero(near & ((own == j) | (own == i))).tolist():
-            if other != leader:
-                made.append((int(fps[other]), int(fps[leader])))
-        open_ &= ~near
-    return made
-
-
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """``id_col``, ``fp``, ``component_id``: the smallest id that a document reaches over links."""
     fps = cut_lineage(fingerprints(df, id_col, text_col, words))
@@ -260,13 +241,52 @@ def text_key(text: str) -> Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
 
 
+def _verified_groups(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, component) over all alike pairs that share a key: ``members`` is (key, h), ``sets`` (h, s).
+
+    Each round compares leaders of a key with its other members: one leader at
+    first, then up to twice as many a round, each out of another group than the
+    key's largest. A leader is done once compared; a key is done when all others
+    are in one group, so that every pair across groups has been compared.
+    """
+    one = sets.select(F.col("h").alias("x"), F.col("s").alias("s_x"))
+    two = sets.select(F.col("h").alias("y"), F.col("s").alias("s_y"))
+    both = F.size(F.array_intersect("s_x", "s_y"))
+    alike = both >= similarity * (F.size("s_x") + F.size("s_y") - both)
+    open_ = members.withColumn("component", F.col("h"))
+    leaders = cut_lineage(open_.groupBy("key").agg(F.min("h").alias("leader")).withColumn("own", F.col("leader")))
+    tried, links_, turn = None, None, 0
+    while True:
+        pairs = open_.join(leaders, "key").where("component <> own").select(F.least("h", "leader").alias("x"), F.greatest("h", "leader").alias("y")).distinct()
+        pairs = cut_lineage(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = cut_lineage(pairs.join(one, "x").join(two, "y").where(alike).select(F.col("x").alias("a"), F.col("y").alias("b")))
+        # Groups of earlier rounds go on as links to their least member.
+        links_ = found if links_ is None else links_.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
+        links_ = components(links_)
+        done = leaders.select("key", F.col("leader").alias("h"))
+        named = open_.drop("component").join(done, ["key", "h"], "left_anti").join(links_.withColumnRenamed("node", "h"), "h", "left")
+        named = named.select("key", "h", F.coalesce("component", "h").alias("component"))
+        groups = named.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("h").alias("leader"))
+        largest = groups.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
+        largest = cut_lineage(largest.select("key", F.col("most.component").alias("most")))
+        if largest.isEmpty():
+            return links_
+        open_ = cut_lineage(named.join(largest.select("key"), "key"))
+        turn += 1
+        slot = F.pmod(F.xxhash64("component", F.lit(turn)), F.lit(1 << min(turn, 30)))
+        rest = groups.join(largest, "key").where("component <> most").groupBy("key", slot.alias("slot"))
+        leaders = rest.agg(F.min(F.struct("leader", "component")).alias("l"))
+        leaders = cut_lineage(leaders.select("key", F.col("l.leader").alias("leader"), F.col("l.component").alias("own")))
+
+
 def near_copies(df: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 26, rows: int = 4) -> DataFrame:
     """(doc_id, h, kept_id, kept_h): rows in groups of texts whose shingle sets have a Jaccard ``similarity`` or more.
 
     ``h`` is the ``text_key``; the kept row of a group has the smallest id, then
     the smallest key. Rows alone in their group and rows without an id are left
-    out. A pair is looked at if one of its ``bands`` keys agrees, and is verified
-    on the shingles themselves. A pair of similarity s is missed with a chance of
+    out. A pair is looked at if one of its ``bands`` keys agrees, unless both are in
+    one group already, and is verified on the shingles themselves. A pair of similarity s is missed with a chance of
     (1 - s ** rows) ** bands: about one in a million at 0.8, for added and removed
     words as for replaced ones. Equal texts are one text here, whatever their number.
     """
@@ -283,9 +303,8 @@ def near_copies(df: DataFrame, words: int = 5, similarity: float = 0.8, bands: i
     every = cut_lineage(map_batches(known, work, f"doc_id {kind_of_id}, h binary, keys array<long>"))
     named = cut_lineage(every.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.any_value("keys").alias("keys")))
     members = named.select("h", F.explode("keys").alias("key"))
-    least = members.groupBy("key").agg(F.min("h").alias("least"), F.count("*").alias("n")).where("n > 1")
-    pairs = members.join(least, "key").where("h <> least").select(F.col("least").alias("x"), F.col("h").alias("y"))
-    pairs = cut_lineage(pairs.distinct())
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = cut_lineage(members.join(shared, "key").select("key", "h"))
 
     def squeezed(batch: pa.RecordBatch) -> dict:
         press = zstandard.ZstdCompressor(level=3).compress
@@ -296,16 +315,10 @@ def near_copies(df: DataFrame, words: int = 5, similarity: float = 0.8, bands: i
         read = zstandard.ZstdDecompressor().decompress
         return {"h": batch.column(0), "s": [shingle_hashes(read(z.as_py()).decode(), words) for z in batch.column(1)]}
 
-    asked = pairs.select(F.col("x").alias("h")).unionByName(pairs.select(F.col("y").alias("h"))).distinct()
-    asked = asked.join(named.select("h", F.col("first").alias("doc_id")), "h")
+    asked = members.select("h").distinct().join(named.select("h", F.col("first").alias("doc_id")), "h")
     small = map_batches(known, squeezed, f"doc_id {kind_of_id}, h binary, z binary").join(asked, ["doc_id", "h"])
     some = map_batches(small.dropDuplicates(["doc_id", "h"]).select("h", "z"), sets, "h binary, s array<long>")
-    some = cut_lineage(some)
-    one = some.select(F.col("h").alias("x"), F.col("s").alias("s_x"))
-    two = some.select(F.col("h").alias("y"), F.col("s").alias("s_y"))
-    both = F.size(F.array_intersect("s_x", "s_y"))
-    alike = pairs.join(one, "x").join(two, "y").where(both >= similarity * (F.size("s_x") + F.size("s_y") - both))
-    groups = components(alike.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "h")
+    groups = _verified_groups(members, cut_lineage(some), similarity).withColumnRenamed("node", "h")
     texts = named.select("h", "first", "rows").join(groups, "h", "left").where("rows > 1 or component is not null")
     texts = cut_lineage(texts.withColumn("component", F.coalesce("component", "h")))
     keep = texts.groupBy("component").agg(F.min(F.struct("first", "h")).alias("k"))

@@ -378,3 +378,18 @@ def test_near_copies_with_added_and_removed_words(spark):
     df = spark.createDataFrame([(n, t, None, None, None) for n, t in enumerate(texts)], SCHEMA).repartition(3)
     found = {r.doc_id: r.kept_id for r in simhash.near_copies(df).collect()}
     assert [found.get(n, n) for n in range(len(texts))] == group
+
+
+def test_near_copies_beside_an_unlike_representative(spark):
+    shared, texts = " ".join("s%d" % n for n in range(60)), []
+    for family in range(6):  # unlike families that share most of their shingles, in chains of alike texts
+        tail = ["f%d_%d" % (family, n) for n in range(40)]
+        for step in range(3):
+            changed = ["c%d_%d_%d" % (family, step, n) for n in range(6 * step)]
+            texts.append(" ".join([shared, *tail[6 * step :], *changed]))
+    df = spark.createDataFrame([(n, t, None, None, None) for n, t in enumerate(texts)], SCHEMA).repartition(3)
+    group = alike_groups(texts)
+    assert 6 <= len(set(group)) < len(texts)
+    # Without rows all texts share one key.
+    found = {r.doc_id: r.kept_id for r in simhash.near_copies(df, bands=1, rows=0).collect()}
+    assert [found.get(n, n) for n in range(len(texts))] == group
