@@ -28,6 +28,9 @@ TEST_PATHS = r"(?i)(^|[/_.-])(tests?|spec|examples?|samples?|fixtures?|docs?|moc
 PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|ri|ro|ic|ne|ea|ra|ce|ch|ie|ei|un|ge|el|la|os|ue"
 TURNS = "(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]"
 
+#: Characters of the text around a finding that has another one before it in its word.
+CONTEXT = 300
+
 #: Bounds of what is fitted: words of the dictionary, and labelled findings of the training set.
 DICTIONARY_WORDS = 2000
 LABELLED_FINDINGS = 4000
@@ -135,26 +138,43 @@ def chance(trees: list, values: list[Column]) -> Column:
 
 
 def findings_of(text: Column, path: Column, trees: list, known: list[str]) -> Column:
-    """Array of (at, value, before, after, chance) of a text; ``at`` counts words from 0."""
+    """Array of (at, value, before, after, chance) of a text; ``at`` counts words from 0.
+
+    A word may hold several findings; for those after its first, ``before`` begins
+    within the last ``CONTEXT`` characters, and ``after`` is what follows in the word.
+    """
     words = F.split(text, r"\s+")
     word = lambda all_, at: F.coalesce(F.get(all_, at), F.lit(""))
     numbered = F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("word")))
     hits = F.filter(numbered, lambda h: h["word"].rlike(CANDIDATE))
 
-    def cut(h: Column) -> Column:
-        at, whole = h["at"], h["word"]
-        value = F.regexp_extract(whole, CANDIDATE, 0)
-        before = F.concat(word(words, at - 3), F.lit(" "), word(words, at - 2), F.lit(" "), word(words, at - 1), F.lit(" "), F.left(whole, F.position(value, whole) - 1))
-        after = F.concat_ws(" ", word(words, at + 1), word(words, at + 2))
+    def parsed(h: Column) -> Column:
+        whole = h["word"]
+        values = F.regexp_extract_all(whole, F.lit(CANDIDATE), F.lit(0))
+        return F.struct(h["at"].alias("at"), values.alias("values"), F.split(whole, CANDIDATE).alias("between"))
+
+    def cut(h: Column, value: Column, n: Column) -> Column:
+        at, values, between = h["at"], h["values"], h["between"]
+        words_before = F.concat(word(words, at - 3), F.lit(" "), word(words, at - 2), F.lit(" "), word(words, at - 1), F.lit(" "))
+        start = F.greatest(n - 3, F.lit(0))
+        near = F.zip_with(F.slice(between, start + 1, n - start), F.slice(values, start + 1, n - start), lambda b, v: F.concat(b, v))
+        inside = F.concat(F.when(n <= 3, words_before).otherwise(""), F.concat_ws("", near), F.get(between, n))
+        before = F.when(n == 0, F.concat(words_before, F.get(between, n))).otherwise(F.right(inside, F.lit(CONTEXT)))
+        last = F.concat_ws(" ", word(words, at + 1), word(words, at + 2))
+        inside = F.concat(F.get(between, n + 1), word(values, n + 1), word(between, n + 2))
+        after = F.when(n + 1 == F.size(values), last).otherwise(F.left(inside, F.lit(CONTEXT)))
         return F.struct(at.alias("at"), value.alias("value"), before.alias("before"), after.alias("after"))
 
+    def cuts(h: Column) -> Column:
+        return F.transform(h["values"], lambda value, n: cut(h, value, n))
+
     def marked(c: Column) -> Column:
         found = list(features(c["value"], c["before"], c["after"], path, known).values())
         vector = F.array(*found)
         score = F.transform(F.array(vector), lambda v: chance(trees, [v[n] for n in range(len(found))]))[0]
         return F.struct(*[c[n].alias(n) for n in ("at", "value", "before", "after")], score.alias("chance"))
 
-    found = F.transform(F.transform(hits, cut), marked)
+    found = F.transform(F.flatten(F.transform(F.transform(hits, parsed), cuts)), marked)
     kind = "array<struct<at:int,value:string,before:string,after:string,chance:double>>"
     return F.when(text.rlike(CANDIDATE), found).otherwise(F.array()).cast(kind)
 
@@ -169,6 +189,7 @@ def scan(df: DataFrame, text_col: str = "text", path_col: str | None = "source")
 
 def redact(df: DataFrame, text_col: str = "text", path_col: str | None = "source", mark: str = "<secret>") -> DataFrame:
     """``df`` with the secrets in its texts replaced by ``mark``."""
-    secrets = F.transform(F.filter("findings", lambda f: f["chance"] > 0.5), lambda f: f["value"])
-    clean = F.aggregate(secrets, F.col(text_col), lambda text, value: F.replace(text, value, F.lit(mark)))
+    secrets = F.transform(F.filter("findings", lambda f: f["chance"] > 0.5), lambda f: F.struct((-F.length(f["value"])).alias("size"), f["value"].alias("value")))
+    # The longest first, as a secret may be part of another.
+    clean = F.aggregate(F.array_sort(F.array_distinct(secrets)), F.col(text_col), lambda text, s: F.replace(text, s["value"], F.lit(mark)))
     return scan(df, text_col, path_col).withColumn(text_col, clean).select(*df.columns)

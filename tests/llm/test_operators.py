@@ -393,3 +393,19 @@ def test_near_copies_beside_an_unlike_representative(spark):
     # Without rows all texts share one key.
     found = {r.doc_id: r.kept_id for r in simhash.near_copies(df, bands=1, rows=0).collect()}
     assert [found.get(n, n) for n in range(len(texts))] == group
+
+
+def test_secrets_within_one_word(spark, docs):
+    keys = [hashlib.sha1(b"%d" % n).hexdigest() for n in range(3)]
+    json = '{"api_key":"%s","auth_token":"%s","name":"x","client_secret":"%s"}' % tuple(keys)
+    jwt = ["eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", "eyJzdWIiOiIxMjM0NTY3ODkwIiwiaWF0IjoxNTE2MjM5MDIyfQ", "SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c"]
+    made = [(1, json), (2, "token=" + ".".join(jwt)), (3, "path=/very/long/name123456&token=" + keys[0]), (4, f"A={keys[1]};B={keys[2]} end"), (5, json * 40)]
+    df = table(spark, [(d, t, None, "src0", None) for d, t in made] + rows())
+    found = {r.doc_id: r.findings for r in secrets.scan(df.drop("findings")).where("doc_id < 6 and length(text) > 60 and source = 'src0'").collect() if r.findings}
+    assert [f.value for f in found[1]] == keys and all(f.chance > 0.5 for f in found[1])
+    assert [f.before[-len(end) :] for f, end in zip(found[1], ('{"api_key":"', '"auth_token":"', '"client_secret":"'))] == ['{"api_key":"', '"auth_token":"', '"client_secret":"']
+    assert [f.value for f in found[2]] == jwt
+    assert [f.value for f in found[3]] == ["/very/long/name123456", keys[0]] and found[3][1].chance > 0.5
+    assert [f.value for f in found[4]] == keys[1:] and len(found[5]) == 120
+    clean = [r.text for r in secrets.redact(df).where("doc_id = 1").collect()]
+    assert json.replace(keys[0], "<secret>").replace(keys[1], "<secret>").replace(keys[2], "<secret>") in clean
