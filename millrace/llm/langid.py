@@ -46,20 +46,30 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: i
     chosen by the hash of their text, so the sample follows from the rows alone;
     copies of a text count once. Rows without text or label are left out.
     """
+    return _samples({k: v[:rows] for k, v in _drawn(df, text_col, lang_col, rows, chars).items()})
+
+
+def _samples(texts: dict[str, list[str]]) -> Samples:
+    return Samples(tuple((k, " ".join(v)) for k, v in sorted(texts.items())))
+
+
+def _drawn(df: DataFrame, text_col: str, lang_col: str, rows: int, chars: int) -> dict[str, list[str]]:
+    """About twice ``rows`` distinct texts per language, or all of fewer, by the hash of the text."""
     labelled = df.where(F.col(text_col).rlike(r"\p{L}") & F.col(lang_col).isNotNull())
     labelled = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     labelled = labelled.withColumn("at", F.xxhash64("text").bitwiseAND((1 << 62) - 1))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    texts = labelled.select("lang", "at").distinct()
+    counts = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return Samples(())
-    # Twice the rows wanted pass on average; a language with few rows passes whole.
+        return {}
+    # Twice the rows wanted pass on average; a language with few texts passes whole.
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int((1 << 62) * min(1.0, 2 * rows / n)))])
     middle = F.greatest(F.lit(1), (F.length("text") - chars) / 2).cast("int")
     some = labelled.where(F.col("at") <= share[F.col("lang")]).select("lang", "at", F.substring("text", middle, F.lit(chars)).alias("text"))
     found: dict[str, dict[int, str]] = {}
     for row in some.distinct().collect():
         found.setdefault(row["lang"], {})[row["at"]] = row["text"]
-    return Samples(tuple((k, " ".join(t for _, t in sorted(v.items())[:rows])) for k, v in sorted(found.items())))
+    return {k: [t for _, t in sorted(v.items())] for k, v in found.items()}
 
 
 class Automata:

@@ -409,3 +409,11 @@ def test_secrets_within_one_word(spark, docs):
     assert [f.value for f in found[4]] == keys[1:] and len(found[5]) == 120
     clean = [r.text for r in secrets.redact(df).where("doc_id = 1").collect()]
     assert json.replace(keys[0], "<secret>").replace(keys[1], "<secret>").replace(keys[2], "<secret>") in clean
+
+
+def test_language_of_copies_has_a_sample(spark):
+    made = [(n, "copied words " + prose(DE, 20, n % 5), "de", None, None) for n in range(20_000)]
+    made += [(n, prose(EN, 20, n), "en", None, None) for n in range(30_000, 30_200)]
+    samples = langid.learn(spark.createDataFrame(made, SCHEMA))
+    texts = dict(samples.texts)
+    assert sorted(texts) == ["de", "en"] and texts["de"].count("copied words") == 5
