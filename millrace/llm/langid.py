@@ -49,6 +49,29 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: i
     return _samples({k: v[:rows] for k, v in _drawn(df, text_col, lang_col, rows, chars).items()})
 
 
+def learn_with_bits(
+    df: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = 64, chars: int = 800
+) -> tuple[Samples, dict[str, float]]:
+    """``learn``, and the bits a symbol of each language's texts: the median over texts that its sample lacks.
+
+    Those are the texts drawn beyond ``rows``. A language with fewer than eight of
+    them judges each quarter of its sample by the rest of it; one with a single
+    text is left out.
+    """
+    drawn = _drawn(df, text_col, lang_col, rows, chars)
+    samples = _samples({k: v[:rows] for k, v in drawn.items()})
+    typical = {}
+    for lang, texts in drawn.items():
+        sides = [(texts[:rows], texts[rows:])]
+        if len(texts) < rows + 8:
+            own = texts[:rows]
+            sides = [([t for i, t in enumerate(own) if i % 4 != n], own[n::4]) for n in range(4)]
+        costs = [c for known, held in sides if known and held for c in Automata(_samples({lang: known})).judge(held)[2] if c is not None]
+        if costs:
+            typical[lang] = float(np.median(costs))
+    return samples, typical
+
+
 def _samples(texts: dict[str, list[str]]) -> Samples:
     return Samples(tuple((k, " ".join(v)) for k, v in sorted(texts.items())))
 
