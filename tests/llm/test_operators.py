@@ -1,6 +1,7 @@
 """The operators on awkward rows, against plain models."""
 
 import hashlib
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -417,3 +418,21 @@ def test_language_of_copies_has_a_sample(spark):
     samples = langid.learn(spark.createDataFrame(made, SCHEMA))
     texts = dict(samples.texts)
     assert sorted(texts) == ["de", "en"] and texts["de"].count("copied words") == 5
+
+
+@pytest.mark.parametrize("sign", ["", "# ", " * ", "// "])
+def test_wrapped_licenses(sign):
+    tool = licenses.scanner()
+    fill = prose(EN, 300, 3)
+    for name, wordings in licenses.TEMPLATES.items():
+        for wording in wordings:
+            lines = textwrap.fill(wording, 72, initial_indent=sign, subsequent_indent=sign)
+            found = [b for b in tool.blocks(f"{fill}\n\n{lines}\n\n{fill}") if b[2]]
+            assert [b[2] for b in found] == [name], (name, lines, found)
+    mit, bsd = licenses.TEMPLATES["MIT"][2], licenses.TEMPLATES["BSD-3-Clause"][0]
+    mit = mit.replace("conditions: The", "conditions:\n\nThe")
+    parts = [textwrap.fill(p, 72, initial_indent=sign, subsequent_indent=sign) for p in (*mit.split("\n\n"), bsd, licenses.TEMPLATES["ISC"][1])]
+    for joint in ("\n", f"\n{sign}\n"):
+        assert [b[2] for b in tool.blocks(joint.join(parts)) if b[2]] == ["MIT", "BSD-3-Clause", "ISC"]
+    one_line = "Released under the MIT License. Licensed under the Apache License, Version 2.0."
+    assert [b[2] for b in tool.blocks(one_line)] == ["MIT", "Apache-2.0"]
