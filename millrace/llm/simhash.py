@@ -245,8 +245,8 @@ def _verified_groups(members: DataFrame, sets: DataFrame, similarity: float) ->
     """(node, component) over all alike pairs that share a key: ``members`` is (key, h), ``sets`` (h, s).
 
     Each round compares leaders of a key with its other members: one leader at
-    first, then up to twice as many a round, each out of another group than the
-    key's largest. A leader is done once compared; a key is done when all others
+    first, then up to eight times as many a round, each out of another group than
+    the key's largest. A leader is done once compared; a key is done when all others
     are in one group, so that every pair across groups has been compared.
     """
     one = sets.select(F.col("h").alias("x"), F.col("s").alias("s_x"))
@@ -262,8 +262,10 @@ def _verified_groups(members: DataFrame, sets: DataFrame, similarity: float) ->
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = cut_lineage(pairs.join(one, "x").join(two, "y").where(alike).select(F.col("x").alias("a"), F.col("y").alias("b")))
         # Groups of earlier rounds go on as links to their least member.
-        links_ = found if links_ is None else links_.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
-        links_ = components(links_)
+        if links_ is None:
+            links_ = components(found)
+        elif not found.isEmpty():
+            links_ = components(links_.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
         done = leaders.select("key", F.col("leader").alias("h"))
         named = open_.drop("component").join(done, ["key", "h"], "left_anti").join(links_.withColumnRenamed("node", "h"), "h", "left")
         named = named.select("key", "h", F.coalesce("component", "h").alias("component"))
@@ -274,7 +276,7 @@ def _verified_groups(members: DataFrame, sets: DataFrame, similarity: float) ->
             return links_
         open_ = cut_lineage(named.join(largest.select("key"), "key"))
         turn += 1
-        slot = F.pmod(F.xxhash64("component", F.lit(turn)), F.lit(1 << min(turn, 30)))
+        slot = F.pmod(F.xxhash64("component", F.lit(turn)), F.lit(1 << min(3 * turn, 30)))
         rest = groups.join(largest, "key").where("component <> most").groupBy("key", slot.alias("slot"))
         leaders = rest.agg(F.min(F.struct("leader", "component")).alias("l"))
         leaders = cut_lineage(leaders.select("key", F.col("l.leader").alias("leader"), F.col("l.component").alias("own")))
