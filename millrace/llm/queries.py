@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, fingerprint, langid, licenses, neighbours, packing, pitman_yor, secrets, simhash, substrings
+from millrace.llm import (
+    bpe, fingerprint, interaction, langid, licenses, neighbours, packing, pitman_yor, secrets, simhash, spelling, substrings,
+)
 from millrace.llm.batches import read
+from millrace.llm.checking import FILTER_AUDIT, SPELLING
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +25,16 @@ def query(build: Callable[[SparkSession, str], DataFrame]):
     return build
 
 
+def checked(sql: str):
+    """Register a query together with its checking SQL."""
+
+    def register(build: Callable[[SparkSession, str], DataFrame]):
+        ORACLES[build.__name__] = sql
+        return query(build)
+
+    return register
+
+
 def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
@@ -89,3 +102,13 @@ def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(read(spark, folder, "documents"))
+
+
+@checked(SPELLING)
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(read(spark, folder, "documents")))
+
+
+@checked(FILTER_AUDIT)
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return interaction.audit(read(spark, folder, "documents"), read(spark, folder, "labels"))
