@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import (
-    bpe, fingerprint, interaction, langid, licenses, neighbours, packing, pitman_yor, secrets, simhash, spelling, substrings,
+    bpe, fingerprint, interaction, langid, licenses, multimatch, neighbours, packing, pitman_yor, secrets, simhash, spelling, substrings,
 )
 from millrace.llm.batches import read
 from millrace.llm.checking import FILTER_AUDIT, SPELLING
@@ -112,3 +112,8 @@ def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
 @checked(FILTER_AUDIT)
 def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return interaction.audit(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query
+def op13_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
+    return multimatch.linked(read(spark, folder, "documents"))
