@@ -109,21 +109,6 @@ def with_birth(
     )
 
 
-def drop_stale(changes: DataFrame, keys: list[str], target: DataFrame, ts: str, target_ts: str) -> DataFrame:
-    """Keep changes at least as new as the target row's own source time.
-
-    The newest time per changed key is taken first, so a repeated key in the target
-    does not multiply the changes.
-    """
-    touched = target.join(changes.select(*keys).distinct(), list(keys), "left_semi")
-    newest = touched.groupBy(*keys).agg(F.max(target_ts).alias("_seen"))
-    return (
-        salted_lookup(changes, newest, list(keys), F.struct(*changes.columns), "left")
-        .where(F.col("_seen").isNull() | F.col(ts).isNull() | (F.col(ts) >= F.col("_seen")))
-        .drop("_seen")
-    )
-
-
 def net_changes(
     changes: DataFrame,
     keys: list[str],

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators.changes import drop_stale, fold_changes
+from millrace.operators.changes import fold_changes
 from millrace.operators.merge import (
     account_rule, apply_merge, customer_rule, delete_keys, member_rule, merge_outcomes, resolve, update_columns,
 )
@@ -147,13 +147,9 @@ def test_unique_merge_with_deletes_matches_broadcast_path(spark):
     assert one == two and any("" in r for r in one)
 
 
-def test_delete_update_and_stale(spark):
+def test_delete_and_update(spark):
     t = spark.createDataFrame([("a", 1, T0), ("a", 2, T0), ("b", 3, T0)], "k string, v int, at timestamp_ntz")
     gone = spark.createDataFrame([("a",), ("a",)], "k string")
     assert [r.v for r in delete_keys(t, gone, ["k"]).collect()] == [3]
     new = spark.createDataFrame([("a", None)], "k string, v int")
     assert sorted(map(str, (r.v for r in update_columns(t, new, ["k"], ["v"]).collect()))) == ["3", "None", "None"]
-    late = spark.createDataFrame(
-        [("a", T0 - timedelta(1)), ("a", T0 + timedelta(1)), ("c", T0 - timedelta(1)), ("b", None)], "k string, ts timestamp_ntz"
-    )
-    assert sorted(r.k for r in drop_stale(late, ["k"], t, "ts", "at").collect()) == ["a", "b", "c"]
