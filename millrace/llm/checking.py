@@ -56,3 +56,20 @@ found as (select part, filter_order, step, own,
 select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
     (sum(removed) over (partition by part, own))::bigint as shapley from found
 """
+
+SHINGLE_JOIN = r"""
+with recursive words as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+shingled as (select doc_id, list_sort(list_distinct(case when len(w) between 1 and 2 then [array_to_string(w, ' ')]
+      else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end)) as s from words),
+sets as (select s, min(doc_id) as rep, len(s) as n from shingled where len(s) > 0 group by s),
+tokens as (select rep, n, unnest(s) as t from sets),
+pairs as (select a.rep as x, b.rep as y from tokens a join tokens b
+      on a.t = b.t and a.rep < b.rep and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+    group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+links as (select x, y from pairs union all select y, x from pairs),
+reach as (select rep, rep as tip from sets union select r.rep, l.y from reach r join links l on l.x = r.tip),
+least_of as (select rep, min(tip) as component_id from reach group by rep)
+select d.doc_id, len(d.s) as n_shingles, coalesce(component_id, d.doc_id) as component_id
+from shingled d left join sets using (s) left join least_of using (rep)
+"""

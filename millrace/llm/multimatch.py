@@ -52,6 +52,9 @@ MOST_MATCHES, VERIFY = 6, 20
 #: Sets of a block, entries of a list that one task holds, counted rows that may be broadcast.
 BLOCK, LIST, BROADCAST_ROWS = 1024, 16_384, 200_000
 SHUFFLED = "token long, node long, part long, x long, y long, z long, size long"
+NAMES = ["token", "node", "part", "x", "y", "z", "size"]
+#: Lists of up to so many entries are paired together, longer ones one by one.
+SHORT = 64
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -90,15 +93,23 @@ def matches_for(frequencies: np.ndarray, percent: int) -> int:
     return int(asked[np.argmin(entries * (1 + VERIFY / asked))])
 
 
+def text_hash(text: str | None) -> bytes:
+    return xxhash.xxh3_128_digest((text or "").encode())
+
+
 class Groups:
     """The multi-match join of one list of sets, by groups.
 
     ``side`` tells the blocks apart: with two blocks only pairs across them count.
-    ``met`` holds the anchors under which a set was listed before; pairs that share one are left out.
+    ``met`` holds the anchors under which a set was listed before; pairs that share one are left out, and
+    so are pairs of one ``part``, a group that is known already (-1: none).
     """
 
-    def __init__(self, sets: list[np.ndarray], side: np.ndarray, met: list[list[int]], percent: int):
-        self.percent, self.side = percent, side
+    def __init__(self, sets: list[np.ndarray], side: np.ndarray, met: list[list[int]], percent: int, part: np.ndarray | None = None):
+        self.percent, self.side, self.label = percent, side, np.arange(len(sets))
+        if part is not None:
+            first = np.unique(part, return_index=True, return_inverse=True)[1:]
+            self.label = np.where(part == -1, self.label, first[0][first[1]])
         self.across = side.min() != side.max()
         self.sizes = np.array([len(s) for s in sets], np.int64)
         self.ends = np.cumsum(self.sizes)
@@ -144,7 +155,7 @@ class Groups:
         return found[np.argsort(-matches[found], kind="stable")]
 
     def links(self) -> list[tuple[int, int]]:
-        label, made = np.arange(len(self.sizes)), []
+        label, made = self.label.copy(), []
         mark = np.zeros(self.total, bool)
         for n in range(1, len(self.sizes)):
             left, step = self._candidates(n, label), 1
@@ -198,10 +209,6 @@ def described(docs: DataFrame, words: int) -> DataFrame:
     return cut_lineage(bounded(docs.select("doc_id", "text")).mapInArrow(run, schema))
 
 
-def text_hash(text: str | None) -> bytes:
-    return xxhash.xxh3_128_digest((text or "").encode())
-
-
 def count_table(tables: DataFrame) -> np.ndarray:
     """All tasks' tables added up; the table has a fixed size, whatever the number of documents."""
 
@@ -221,17 +228,17 @@ def count_table(tables: DataFrame) -> np.ndarray:
     return table.reshape(-1)
 
 
-def compressed(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """``sig`` and ``text`` (zstandard) of the texts that stand for the sets in ``asked`` (sig, first).
+def compressed(docs: DataFrame, asked: DataFrame, named: Callable[[str | None], bytes] = text_hash) -> DataFrame:
+    """``sig`` and ``text`` (zstandard) of the texts that stand for the sets in ``asked`` (sig, first: doc_id and h).
 
-    Few counted rows are broadcast, so that no text is shuffled for the look-up.
+    ``named`` gives the ``h`` of a text. Few counted rows are broadcast, so that no text is shuffled for the look-up.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> dict:
         press = zstandard.ZstdCompressor(level=3).compress
         texts = [t.as_py() for t in batch.column(1)]
-        return {"id": batch.column(0), "t": [text_hash(t) for t in texts], "text": [press((t or "").encode()) for t in texts]}
+        return {"id": batch.column(0), "t": [named(t) for t in texts], "text": [press((t or "").encode()) for t in texts]}
 
     asked = cut_lineage(asked)
     texts = map_batches(docs.select("doc_id", "text"), work, f"id {kind}, t binary, text binary")
@@ -241,7 +248,8 @@ def compressed(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def _read(text: bytes, words: int) -> np.ndarray:
-    return shingles(zstandard.ZstdDecompressor().decompress(text).decode(), words)
+    found = shingles(zstandard.ZstdDecompressor().decompress(text).decode(), words)
+    return found if len(found) else np.zeros(1, np.uint64)  # texts without words are alike where they are listed
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch | pa.Table]:
@@ -285,16 +293,22 @@ def in_blocks(rows: DataFrame, by: str) -> DataFrame:
 
 
 def linked_in_lists(lists: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """``a``, ``b``: links that join the sets of each anchor's list into groups."""
+    """``a``, ``b``: links that join the sets of each list (anchor, sig, blocks) into groups.
+
+    ``lists`` may have ``earlier``, the anchors under which a set was met before, and ``part``, its group so far.
+    """
+    extra = {"earlier": F.array().cast("array<long>"), "part": F.lit(-1).cast("long")}
+    lists = lists.withColumns({c: v for c, v in extra.items() if c not in lists.columns})
     tasks = in_blocks(lists, "sig").join(texts, "sig")
-    ordered = tasks.select("anchor", "i", "j", "own", "earlier", "sig", "text").repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
+    ordered = tasks.select("anchor", "i", "j", "own", "earlier", "sig", "text", "part")
+    ordered = ordered.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, 3):
             if rows.num_rows < 2:
                 continue
-            sigs, side = rows.column(5).to_pylist(), rows.column(3).to_numpy()
-            groups = Groups([_read(t, words) for t in rows.column(6).to_pylist()], side, rows.column(4).to_pylist(), percent)
+            sigs, side, part = rows.column(5).to_pylist(), rows.column(3).to_numpy(), rows.column(7).to_numpy()
+            groups = Groups([_read(t, words) for t in rows.column(6).to_pylist()], side, rows.column(4).to_pylist(), percent, part)
             found = groups.links()
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([sigs[p[n]] for p in found], pa.binary()) for n in (0, 1)], names=["a", "b"])
@@ -326,35 +340,55 @@ def prefixes(docs: DataFrame, table: np.ndarray, words: int, percent: int) -> Da
     return map_batches(docs.select("doc_id", "text"), work, f"id {kind}, t binary, prefix array<long>, size long")
 
 
-def _pairs(rows: np.ndarray, valid: np.ndarray, own: np.ndarray, percent: int, apart: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of one shingle's list that have not met yet: their nodes and the matches that they need."""
-    node, part, size, asked = rows[:, 0], rows[:, 1], rows[:, 5] // 256, rows[:, 5] % 256
-    groups, inverse, counts = np.unique(part, return_inverse=True, return_counts=True)
-    if len(groups) == 1:
-        return
-    # The largest group holds no pair to look at: every pair has one end outside it.
+def _told(rows: np.ndarray, valid: np.ndarray, one: np.ndarray, two: np.ndarray, percent: int, own: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Of the pairs of rows (one, two) those that have not met yet: their nodes and the matches that they need."""
+    good = rows[one, 1] != rows[two, 1]
+    if own is not None:
+        good &= own[one] != own[two]
+    one, two = one[good], two[good]
+    size, asked = rows[:, 5] // 256, rows[:, 5] % 256
+    good = 100 * np.minimum(size[one], size[two]) >= percent * np.maximum(size[one], size[two])
+    one, two = one[good], two[good]
+    good = np.ones(len(one), bool)
+    for x in (2, 3, 4):
+        for y in (2, 3, 4):
+            good &= ~(valid[one, x] & valid[two, y] & (rows[one, x] == rows[two, y]))
+    one, two = one[good], two[good]
+    if len(one):
+        ends = np.sort(np.stack([rows[one, 0], rows[two, 0]]), 0)
+        need, nothing = np.minimum(asked[one], asked[two]), pa.nulls(len(one), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1]), pa.array(need), *[nothing] * 4], names=NAMES)
+
+
+def _long_list(rows: np.ndarray, valid: np.ndarray, percent: int, own: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """The pairs of one shingle's list, a stripe at a time; every one has an end outside the list's largest group."""
+    _, inverse, counts = np.unique(rows[:, 1], return_inverse=True, return_counts=True)
     outside = inverse != counts.argmax()
     rank = np.where(outside, np.arange(len(rows)), -1)
-    for at in np.array_split(np.flatnonzero(outside), max(1, int(outside.sum()) // 256 + 1)):
-        if not len(at):
-            continue
-        a, b = at[:, None], np.arange(len(rows))[None, :]
-        small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-        good = (part[a] != part[b]) & (rank[b] < rank[a]) & (100 * small >= percent * large)
-        if apart:
-            good &= own[a] != own[b]
-        for x in (2, 3, 4):
-            for y in (2, 3, 4):
-                good &= ~(valid[a, x] & valid[b, y] & (rows[a, x] == rows[b, y]))
-        one, two = np.nonzero(good)
-        one = at[one]
-        if len(one):
-            ends = np.sort(np.stack([node[one], node[two]]), 0)
-            need = np.minimum(asked[one], asked[two])
-            nothing = pa.nulls(len(one), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ends[0]), pa.array(ends[1]), pa.array(need), nothing, nothing, nothing, nothing], names=SHUFFLED.replace(" long", "").split(", ")
-            )
+    stripe = max(1, 2_000_000 // len(rows))
+    left = np.flatnonzero(outside)
+    for at in range(0, len(left), stripe):
+        part = left[at : at + stripe]
+        one, two = np.nonzero(rank[None, :] < rank[part][:, None])
+        yield from _told(rows, valid, part[one], two, percent, own)
+
+
+def _lists(rows: np.ndarray, valid: np.ndarray, starts: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of all lists that start at ``starts``; lists of one group have none."""
+    sizes = np.diff(np.append(starts, len(rows)))
+    mixed = np.minimum.reduceat(rows[:, 1], starts) != np.maximum.reduceat(rows[:, 1], starts)
+    for n in np.flatnonzero(mixed & (sizes > SHORT)).tolist():
+        where = slice(starts[n], starts[n] + sizes[n])
+        yield from _long_list(rows[where], valid[where], percent)
+    first, size = starts[mixed & (sizes <= SHORT)], sizes[mixed & (sizes <= SHORT)]
+    pairs = np.cumsum(size * (size - 1) // 2)
+    cuts = np.searchsorted(pairs, np.arange(1_000_000, pairs[-1], 1_000_000)) if len(pairs) else []
+    for f, m in zip(np.split(first, cuts), np.split(size, cuts)):
+        # Every row with all rows before it in its list.
+        place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        one = np.repeat(np.repeat(f, m) + place, place)
+        before = np.arange(place.sum()) - np.repeat(np.cumsum(place) - place, place)
+        yield from _told(rows, valid, one, np.repeat(np.repeat(f, m), place) + before, percent)
 
 
 def _list_rows(rows: pa.Table, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -365,54 +399,69 @@ def _list_rows(rows: pa.Table, first: int) -> tuple[np.ndarray, np.ndarray]:
     return values, valid
 
 
+def _larger(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.Table]:
+    """The rows in larger pieces."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _entries(token: int, rows: np.ndarray, valid: np.ndarray) -> pa.RecordBatch:
+    """Rows of a list that is left to pairs of blocks."""
+    columns = [pa.array(rows[:, c], mask=~valid[:, c] if c != 1 else None) for c in range(6)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), token)), *columns], names=NAMES)
+
+
 def matched(entries: DataFrame, percent: int) -> DataFrame:
     """``x``, ``y``: nodes that share as many prefix shingles as they need; ``entries`` has the columns of ``SHUFFLED``."""
-    names = SHUFFLED.replace(" long", "").split(", ")
-    ordered = entries.select(*names).repartition("token").sortWithinPartitions("token")
+    ordered = entries.select(*NAMES).repartition("token").sortWithinPartitions("token")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        count, passed_on = 0, None
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if count > 1:
-                values, valid = _list_rows(pa.Table.from_batches(held), 1)
-                yield from _pairs(values, valid, values[:, 0], percent, False)
-
-        last = None
-        for batch in batches:
-            tokens = batch.column(0).to_numpy()
-            bounds = [0, *(np.flatnonzero(tokens[1:] != tokens[:-1]) + 1).tolist(), len(tokens)]
-            for start, stop in zip(bounds, bounds[1:]):
-                if start == stop:
-                    continue
-                if tokens[start] != last:
-                    yield from done()
-                    held, count, last, passed_on = [], 0, tokens[start], False
-                part = batch.slice(start, stop - start)
-                if passed_on:
-                    yield part
+        held, known = np.zeros((0, 6), np.int64), np.zeros((0, 6), bool)
+        last, passed_on = None, False
+        for batch in _larger(batches):
+            tokens = np.append(np.full(len(held), last or 0), batch.column(0).to_numpy())
+            rows, valid = _list_rows(batch, 1)
+            if passed_on:  # the rest of a list that is too long for one task
+                stop = int((tokens == last).sum()) if tokens[0] == last else 0
+                if stop:
+                    yield _entries(last, rows[:stop], valid[:stop])
+                tokens, rows, valid = tokens[stop:], rows[stop:], valid[stop:]
+                if not len(tokens):
                     continue
-                held.append(part)
-                count += stop - start
-                if count > LIST:  # left to pairs of blocks
-                    yield from held
-                    held, count, passed_on = [], 0, True
-        yield from done()
+                passed_on = False
+            rows, valid = np.concatenate([held, rows]), np.concatenate([known, valid])
+            starts = np.append(0, np.flatnonzero(tokens[1:] != tokens[:-1]) + 1)
+            # The last list may go on in the next batch.
+            stop, last = int(starts[-1]), int(tokens[-1])
+            if stop:
+                yield from _lists(rows[:stop], valid[:stop], starts[:-1], percent)
+            held, known = rows[stop:], valid[stop:]
+            if len(held) > LIST:
+                yield _entries(last, held, known)
+                held, known, passed_on = held[:0], known[:0], True
+        if len(held):
+            yield from _lists(held, known, np.zeros(1, np.int64), percent)
 
     # Pairs have no size; entries of lists that are too long for one task come out as they are.
-    found = cut_lineage(bounded(ordered).mapInArrow(whole, StructType.fromDDL(SHUFFLED)))
+    found = cut_lineage(ordered.mapInArrow(whole, StructType.fromDDL(SHUFFLED)))
     pair = [F.col("token").alias("x"), F.col("node").alias("y"), F.col("part").alias("need")]
     long = found.where("size is not null")
     sized = long.groupBy("token").agg(F.ceil(F.count("*") / LIST).cast("int").alias("blocks"))
-    blocked = in_blocks(long.join(sized, "token"), "node").select("token", "i", "j", *names[1:], "own")
+    blocked = in_blocks(long.join(sized, "token"), "node").select("token", "i", "j", *NAMES[1:], "own")
     blocked = blocked.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
     def in_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, 3):
             values, valid = _list_rows(rows, 3)
-            own = rows.column(9).to_numpy()
-            yield from _pairs(values, valid, own, percent, rows.column(1)[0].as_py() != rows.column(2)[0].as_py())
+            across = rows.column(1)[0].as_py() != rows.column(2)[0].as_py()
+            yield from _long_list(values, valid, percent, rows.column(9).to_numpy() if across else None)
 
     late = blocked.mapInArrow(in_pairs, StructType.fromDDL(SHUFFLED))
     every = found.where("size is null").select(*pair).unionByName(late.select(*pair))

@@ -12,7 +12,7 @@ from millrace.llm import (
     bpe, fingerprint, interaction, langid, licenses, multimatch, neighbours, packing, pitman_yor, secrets, simhash, spelling, substrings,
 )
 from millrace.llm.batches import read
-from millrace.llm.checking import FILTER_AUDIT, SPELLING
+from millrace.llm.checking import FILTER_AUDIT, SHINGLE_JOIN, SPELLING
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,6 +114,6 @@ def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return interaction.audit(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
-@query
+@checked(SHINGLE_JOIN)
 def op13_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
     return multimatch.linked(read(spark, folder, "documents"))
