@@ -23,11 +23,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from millrace.llm import multimatch
 from millrace.llm.batches import bounded, map_batches
 from millrace.llm.graph import components
 from millrace.llm.phrases import BASE, mixed
@@ -229,60 +229,29 @@ def band_keys(text: str | None, words: int, bands: int, rows: int) -> list[int]:
     return keys.view(np.int64).tolist()
 
 
-def shingle_hashes(text: str | None, words: int) -> list[int]:
-    """Hashes of the distinct shingles of a text; a shorter text is one shingle."""
-    parts = text.encode().lower().split() if text else []
-    found = {b" ".join(parts[n : n + words]) for n in range(max(1, len(parts) - words + 1))}
-    return [xxhash.xxh64_intdigest(s, SEED) - (1 << 63) for s in found]
-
-
 def text_key(text: str) -> Column:
     """Sixteen bytes that stand for a text; a null text counts as empty."""
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
 
 
-def _verified_groups(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, component) over all alike pairs that share a key: ``members`` is (key, h), ``sets`` (h, s).
+def key_lists(members: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """``anchor``, ``sig``, ``part``, ``blocks``: the texts (h) under each key, where they lie in more than one group.
 
-    Each round compares leaders of a key with its other members: one leader at
-    first, then up to eight times as many a round, each out of another group than
-    the key's largest. A leader is done once compared; a key is done when all others
-    are in one group, so that every pair across groups has been compared.
+    Keys with the same members are one list.
     """
-    one = sets.select(F.col("h").alias("x"), F.col("s").alias("s_x"))
-    two = sets.select(F.col("h").alias("y"), F.col("s").alias("s_y"))
-    both = F.size(F.array_intersect("s_x", "s_y"))
-    alike = both >= similarity * (F.size("s_x") + F.size("s_y") - both)
-    open_ = members.withColumn("component", F.col("h"))
-    leaders = cut_lineage(open_.groupBy("key").agg(F.min("h").alias("leader")).withColumn("own", F.col("leader")))
-    tried, links_, turn = None, None, 0
-    while True:
-        pairs = open_.join(leaders, "key").where("component <> own").select(F.least("h", "leader").alias("x"), F.greatest("h", "leader").alias("y")).distinct()
-        pairs = cut_lineage(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = cut_lineage(pairs.join(one, "x").join(two, "y").where(alike).select(F.col("x").alias("a"), F.col("y").alias("b")))
-        # Groups of earlier rounds go on as links to their least member.
-        if links_ is None:
-            links_ = components(found)
-        elif not found.isEmpty():
-            links_ = components(links_.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
-        done = leaders.select("key", F.col("leader").alias("h"))
-        named = open_.drop("component").join(done, ["key", "h"], "left_anti").join(links_.withColumnRenamed("node", "h"), "h", "left")
-        named = named.select("key", "h", F.coalesce("component", "h").alias("component"))
-        groups = named.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("h").alias("leader"))
-        largest = groups.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
-        largest = cut_lineage(largest.select("key", F.col("most.component").alias("most")))
-        if largest.isEmpty():
-            return links_
-        open_ = cut_lineage(named.join(largest.select("key"), "key"))
-        turn += 1
-        slot = F.pmod(F.xxhash64("component", F.lit(turn)), F.lit(1 << min(3 * turn, 30)))
-        rest = groups.join(largest, "key").where("component <> most").groupBy("key", slot.alias("slot"))
-        leaders = rest.agg(F.min(F.struct("leader", "component")).alias("l"))
-        leaders = cut_lineage(leaders.select("key", F.col("l.leader").alias("leader"), F.col("l.component").alias("own")))
-
-
-def near_copies(df: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 26, rows: int = 4) -> DataFrame:
+    named = members.withColumn("part", F.lit(-1).cast("long"))
+    if groups is not None:
+        named = members.join(groups.withColumnRenamed("node", "h"), "h", "left")
+        named = named.select("h", "key", F.coalesce(F.xxhash64("component"), F.lit(-1).cast("long")).alias("part"))
+    own = F.when(F.col("part") == -1, F.xxhash64("h")).otherwise(F.col("part"))
+    sums = [F.sum(F.xxhash64("h") % 1_000_000_007).alias("s"), F.bit_xor(F.xxhash64("h")).alias("x")]
+    lists = named.groupBy("key").agg(F.count("*").alias("n"), F.min(own).alias("low"), F.max(own).alias("high"), *sums)
+    once = lists.where((F.col("n") > 1) & (F.col("low") != F.col("high"))).groupBy("n", "s", "x").agg(F.min("key").alias("key"))
+    sized = once.select("key", F.ceil(F.col("n") / multimatch.BLOCK).cast("int").alias("blocks"))
+    return cut_lineage(named.join(sized, "key").select(F.col("key").alias("anchor"), F.col("h").alias("sig"), "part", "blocks"))
+
+
+def near_copies(df: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 26, rows: int = 4, first: int = 4) -> DataFrame:
     """(doc_id, h, kept_id, kept_h): rows in groups of texts whose shingle sets have a Jaccard ``similarity`` or more.
 
     ``h`` is the ``text_key``; the kept row of a group has the smallest id, then
@@ -291,38 +260,36 @@ def near_copies(df: DataFrame, words: int = 5, similarity: float = 0.8, bands: i
     one group already, and is verified on the shingles themselves. A pair of similarity s is missed with a chance of
     (1 - s ** rows) ** bands: about one in a million at 0.8, for added and removed
     words as for replaced ones. Equal texts are one text here, whatever their number.
+
+    The ``first`` keys join most groups; under the others only lists that still hold
+    several groups are looked at. A list is joined inside a task, long ones in pairs of blocks, so
+    that texts travel once per list and block and only links between groups come out.
     """
     known = df.where("doc_id is not null").select("doc_id", "text")
     kind_of_id = df.schema["doc_id"].dataType.simpleString()
+    percent = round(100 * similarity)
+
+    def named_by(text: str | None) -> bytes:
+        return hashlib.sha256((text or "").encode()).digest()[:16]
 
     def work(batch: pa.RecordBatch) -> dict:
         texts = [t.as_py() for t in batch.column(1)]
-        return {
-            "doc_id": batch.column(0), "h": [hashlib.sha256((t or "").encode()).digest()[:16] for t in texts],
-            "keys": [band_keys(t, words, bands, rows) for t in texts],
-        }
+        return {"doc_id": batch.column(0), "h": [named_by(t) for t in texts], "keys": [band_keys(t, words, bands, rows) for t in texts]}
 
     every = cut_lineage(map_batches(known, work, f"doc_id {kind_of_id}, h binary, keys array<long>"))
     named = cut_lineage(every.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.any_value("keys").alias("keys")))
-    members = named.select("h", F.explode("keys").alias("key"))
+    members = named.select("h", F.posexplode("keys").alias("band", "key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = cut_lineage(members.join(shared, "key").select("key", "h"))
-
-    def squeezed(batch: pa.RecordBatch) -> dict:
-        press = zstandard.ZstdCompressor(level=3).compress
-        texts = [(t.as_py() or "").encode() for t in batch.column(1)]
-        return {"doc_id": batch.column(0), "h": [hashlib.sha256(t).digest()[:16] for t in texts], "z": [press(t) for t in texts]}
-
-    def sets(batch: pa.RecordBatch) -> dict:
-        read = zstandard.ZstdDecompressor().decompress
-        return {"h": batch.column(0), "s": [shingle_hashes(read(z.as_py()).decode(), words) for z in batch.column(1)]}
-
-    asked = members.select("h").distinct().join(named.select("h", F.col("first").alias("doc_id")), "h")
-    small = map_batches(known, squeezed, f"doc_id {kind_of_id}, h binary, z binary").join(asked, ["doc_id", "h"])
-    some = map_batches(small.dropDuplicates(["doc_id", "h"]).select("h", "z"), sets, "h binary, s array<long>")
-    groups = _verified_groups(members, cut_lineage(some), similarity).withColumnRenamed("node", "h")
-    texts = named.select("h", "first", "rows").join(groups, "h", "left").where("rows > 1 or component is not null")
-    texts = cut_lineage(texts.withColumn("component", F.coalesce("component", "h")))
-    keep = texts.groupBy("component").agg(F.min(F.struct("first", "h")).alias("k"))
-    chosen = texts.join(keep, "component").select("h", F.col("k.first").alias("kept_id"), F.col("k.h").alias("kept_h"))
+    members = cut_lineage(members.join(shared, "key").select("key", "h", "band"))
+    asked = members.select("h").distinct().join(named, "h").select(F.col("h").alias("sig"), F.struct(F.col("first").alias("doc_id"), "h").alias("first"))
+    texts = cut_lineage(multimatch.compressed(known, asked, named_by))
+    links = multimatch.linked_in_lists(key_lists(members.where(F.col("band") < first).drop("band"), None), texts, words, percent)
+    groups = cut_lineage(components(links))
+    more = multimatch.linked_in_lists(key_lists(members.where(F.col("band") >= first).drop("band"), groups), texts, words, percent)
+    if not more.isEmpty():
+        groups = components(links.unionByName(more))
+    found = named.select("h", "first", "rows").join(groups.withColumnRenamed("node", "h"), "h", "left").where("rows > 1 or component is not null")
+    found = cut_lineage(found.withColumn("component", F.coalesce("component", "h")))
+    keep = found.groupBy("component").agg(F.min(F.struct("first", "h")).alias("k"))
+    chosen = found.join(keep, "component").select("h", F.col("k.first").alias("kept_id"), F.col("k.h").alias("kept_h"))
     return every.select("doc_id", "h").join(chosen, "h").select("doc_id", "h", "kept_id", "kept_h")
