@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import overdraft
@@ -82,12 +82,48 @@ _OPENINGS = "account_id long, chunk int, opening long, work boolean"
 _ALWAYS = -(1 << 62)
 
 
+def _need(prefix: str) -> Column:
+    """The least opening balance from which a row books in full if all rows before it did."""
+    return (
+        F.when(~F.col("outgoing"), F.lit(MIN_CREDIT_CENTS) - F.col(prefix))
+        .when(F.col("deposit"), -F.col(prefix))
+        .otherwise(F.lit(_ALWAYS))
+    )
+
+
+def by_rule(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of every (account, chunk) that book in full from its opening balance, and those from the first one that does not.
+
+    Both have ``start_at``: the balance before the row where all before it booked in
+    full, and the balance before the first row of the rest.
+    """
+    so_far = (
+        Window.partitionBy("account_id", "chunk")
+        .orderBy(*ORDER)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    summed = rows.withColumn("_prefix", F.sum("cents").over(so_far)).withColumn("_need", _need("_prefix"))
+    marked = summed.withColumn("_full", F.col("opening") >= F.max("_need").over(so_far))
+    full = marked.where("_full").withColumn("start_at", F.col("opening") + F.col("_prefix") - F.col("cents"))
+    last_full = F.last(F.when(F.col("_full"), F.col("_prefix")), ignorenulls=True).over(so_far)
+    rest = marked.withColumn("start_at", F.col("opening") + F.coalesce(last_full, F.lit(0))).where("not _full")
+    return full, rest
+
+
 def _booked(rows: DataFrame) -> DataFrame:
-    """Walk every (account, chunk) from its opening balance, in cents."""
+    """Walk every (account, chunk) from its opening balance, in cents.
+
+    Rows that book in full are sums; only those from the first other one on are walked in Python.
+    """
     key = ["account_id", "chunk"]
-    ready = rows.select(*key, *ORDER, "txn_type", "cents", "outgoing", "deposit", "opening")
-    sorted_rows = ready.repartition(*key).sortWithinPartitions(*key, *ORDER)
-    return sorted_rows.mapInPandas(overdraft.replay_sorted, _BOOKED)
+    columns = [*key, *ORDER, "txn_type", "cents", "outgoing", "deposit", "opening"]
+    full, rest = by_rule(rows.select(*columns))
+    summed = full.select(
+        *key, "txn_id", "txn_ts", "txn_type", "opening", F.col("cents").alias("booked"),
+        (F.col("start_at") + F.col("cents")).alias("after"), F.lit(True).alias("accepted"),
+    )
+    sorted_rows = rest.select(*columns, "start_at").repartition(*key).sortWithinPartitions(*key, *ORDER)
+    return summed.unionByName(sorted_rows.mapInPandas(overdraft.replay_sorted, _BOOKED))
 
 
 def _in_money(booked: DataFrame) -> DataFrame:
@@ -109,13 +145,8 @@ def _chunk_summaries(rows: DataFrame) -> DataFrame:
         .orderBy(*ORDER)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    need = (
-        F.when(~F.col("outgoing"), F.lit(MIN_CREDIT_CENTS) - F.col("_prefix"))
-        .when(F.col("deposit"), -F.col("_prefix"))
-        .otherwise(F.lit(_ALWAYS))
-    )
     return rows.withColumn("_prefix", F.sum("cents").over(so_far)).groupBy("account_id", "chunk").agg(
-        F.max(need).cast("long").alias("need"),
+        F.max(_need("_prefix")).cast("long").alias("need"),
         F.sum("cents").cast("long").alias("total"),
         F.max("start").alias("start"),
     )

@@ -1,8 +1,9 @@
 """Order-dependent work that stays spread out when one key holds most rows.
 
-A plain window puts all rows of a key into one task. Here the rows are first cut
-into range chunks, so a big key spans several chunks; each chunk is worked on
-by itself and a small carry per (key, chunk) joins the pieces together.
+A plain window puts all rows of a key into one task. That is right for light keys;
+heavy ones, found by counting, are cut into range chunks, so that a big key spans several
+chunks; each chunk is worked on by itself and a small carry per (key, chunk)
+joins the pieces together.
 """
 
 from __future__ import annotations
@@ -47,9 +48,43 @@ def join_carry(chunked: DataFrame, carry: DataFrame, keys: list[str], chunks: in
     carry = carry.withColumnsRenamed({c: f"_c_{c}" for c in by})
     if chunks <= BROADCAST_CHUNKS:
         carry = F.broadcast(carry)
-    # A null key is a key here, as it is to a window.
-    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in by])
-    return chunked.join(carry, same, "left").drop(*[f"_c_{c}" for c in by])
+    return chunked.join(carry, _same(by, [f"_c_{c}" for c in by]), "left").drop(*[f"_c_{c}" for c in by])
+
+
+def _same(left: list[str], right: list[str]) -> Column:
+    """Equal keys; a null key is a key here, as it is to a window."""
+    return reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)])
+
+
+def split_heavy(
+    df: DataFrame, keys: list[str], max_rows: int = CHUNK_ROWS, size: int | None = None
+) -> tuple[DataFrame | None, DataFrame | None, int]:
+    """``df`` as rows of light keys, rows of heavy keys, and the number of the latter; None where there are none.
+
+    A key is heavy if its counted rows are more than ``max_rows``, so there are fewer
+    heavy keys than ``rows / max_rows``. Light keys then need no more than a plain
+    window. Without keys all rows are one group.
+    """
+    total = df.count() if size is None and not keys else size
+    if total is not None and total <= max_rows:
+        return df, None, 0
+    if not keys:
+        return None, df, total
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_rows)
+    if counted.isEmpty():
+        return df, None, 0
+    counted = cut_lineage(counted.withColumnsRenamed({k: f"_h_{k}" for k in keys}))
+    number, rows = counted.agg(F.count("*"), F.sum("_n")).first()
+    named = counted.drop("_n")
+    named = F.broadcast(named) if number <= BROADCAST_CHUNKS else named
+    same = _same(keys, named.columns)
+    return df.join(named, same, "left_anti"), df.join(named, same, "left_semi"), rows
+
+
+def _by_weight(light: DataFrame | None, heavy: DataFrame | None, plain, chunked) -> DataFrame:
+    if heavy is None:
+        return plain(light)
+    return chunked(heavy) if light is None else plain(light).unionByName(chunked(heavy))
 
 
 def running_sum(
@@ -62,19 +97,26 @@ def running_sum(
     size: int | None = None,
 ) -> DataFrame:
     """Sum of ``value`` from a key's first row up to and including each row."""
-    chunked, chunks = chunk_rows(df.withColumn("_v", value), keys, order, max_rows, size)
+    valued = df.withColumn("_v", value)
+    light, heavy, rows = split_heavy(valued, keys, max_rows, size)
+    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def plain(part: DataFrame) -> DataFrame:
+        return part.withColumn(out, F.sum("_v").over(so_far)).drop("_v")
+
+    def chunked(part: DataFrame) -> DataFrame:
+        return _chunked_sum(part, keys, order, out, max_rows, rows)
+
+    return _by_weight(light, heavy, plain, chunked)
+
+
+def _chunked_sum(df: DataFrame, keys: list[str], order: list[str], out: str, max_rows: int, size: int) -> DataFrame:
+    chunked, chunks = chunk_rows(df, keys, order, max_rows, size)
     within = (
         Window.partitionBy(*keys, CHUNK)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    if chunks == 1:
-        within = (
-            Window.partitionBy(*keys)
-            .orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        return chunked.withColumn(out, F.sum("_v").over(within)).drop("_v", CHUNK)
     earlier = (
         Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -104,10 +146,21 @@ def previous_value(
     max_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """The value of ``column`` on the key's row before this one; null on the first."""
-    chunked, chunks = chunk_rows(df, keys, order, max_rows)
-    if chunks == 1:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return chunked.withColumn(out, F.lag(column).over(w)).drop(CHUNK)
+    light, heavy, rows = split_heavy(df, keys, max_rows)
+
+    def plain(part: DataFrame) -> DataFrame:
+        return part.withColumn(out, F.lag(column).over(Window.partitionBy(*keys).orderBy(*order)))
+
+    def chunked(part: DataFrame) -> DataFrame:
+        return _chunked_previous(part, keys, order, column, out, max_rows, rows)
+
+    return _by_weight(light, heavy, plain, chunked)
+
+
+def _chunked_previous(
+    df: DataFrame, keys: list[str], order: list[str], column: str, out: str, max_rows: int, size: int
+) -> DataFrame:
+    chunked, chunks = chunk_rows(df, keys, order, max_rows, size)
     w = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     carry = (
         chunked.groupBy(*keys, CHUNK)

@@ -41,7 +41,7 @@ def replay_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     group, balance = None, 0
     for rows in batches:
         booked, after, accepted = [], [], []
-        columns = (rows[c].tolist() for c in ("account_id", "chunk", "opening", "cents", "outgoing", "deposit"))
+        columns = (rows[c].tolist() for c in ("account_id", "chunk", "start_at", "cents", "outgoing", "deposit"))
         for account, chunk, opening, cents, outgoing, deposit in zip(*columns):
             if (account, chunk) != group:
                 group, balance = (account, chunk), opening

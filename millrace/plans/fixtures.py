@@ -6,7 +6,7 @@ as SQL text for the checking engine.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -156,7 +156,7 @@ class Bank:
         """Routed changes with their action."""
         return route(normalise_polled(self.member_updates))
 
-    def flat_messages(self) -> DataFrame:
+    def flat_messages(self, *keep) -> DataFrame:
         """Flat events as JSON: a third as objects, a third wrapped in a JSON
         string, a third with a padded key; deletes flagged, plus tombstones."""
         form = F.col("update_id") % 3
@@ -172,7 +172,14 @@ class Bank:
         quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('\\"')), F.lit('"'))
         value = F.when(form == 1, quoted).otherwise(text)
         tombstone = F.when(F.col("operation") == "delete", F.array(value, F.lit(None))).otherwise(F.array(value))
-        return self.member_updates.select("update_id", F.explode(tombstone).alias("value"))
+        return self.member_updates.select("update_id", F.explode(tombstone).alias("value"), *keep)
+
+    def topic_messages(self) -> DataFrame:
+        """The flat messages with key, timestamp and an offset that is unique; a tombstone follows its delete."""
+        key = F.concat_ws("|", "ssn_last4", "last_name").alias("key")
+        offset = F.col("update_id") * 2 + F.col("value").isNull().cast("long")
+        flat = self.flat_messages("source_ts", key)
+        return flat.select("update_id", offset.alias("offset"), F.col("source_ts").cast("timestamp").alias("timestamp"), "key", "value")
 
     def _images(self) -> DataFrame:
         fields = ["update_id", "ssn_last4", "last_name", *MEMBER_ATTRIBUTES, "operation",
@@ -203,6 +210,54 @@ class Bank:
         text = F.to_json(F.struct(op.alias(op_field), "before", "after", "source"))
         return computed_once(self._images(), "value", text).select("update_id", "value")
 
+    def account_changes(self) -> DataFrame:
+        """A new balance per transaction, for every twentieth account."""
+        user = F.col("account_id") - 1000
+        return self.transactions(balance=True).select(
+            (user * 20 + 1000).alias("account_id"), user.alias("customer_id"), F.lit("CHECKING").alias("account_type"),
+            F.col("balance_after").alias("balance"),
+            F.when(F.col("txn_type") == "FEE", "FROZEN").otherwise("ACTIVE").alias("status"),
+            F.col("txn_ts").alias("source_updated_at"), "txn_id", F.lit("upsert").alias("action"),
+        )
+
+    def customer_changes(self) -> DataFrame:
+        """A whole profile per member update, for every twentieth customer."""
+        blank = {c: F.coalesce(F.col(c), F.lit("")) for c in MEMBER_ATTRIBUTES}
+        owner = self.events.select(F.col("event_id").alias("update_id"), (F.col("user_id") * 20).alias("customer_id"))
+        rows = self.member_updates.withColumns(blank).join(owner, "update_id")
+        return rows.withColumns({"source_updated_at": F.col("source_ts"), "action": F.lit("upsert")})
+
+    def current_customers(self) -> DataFrame:
+        return self.customers.drop("ssn_last4").withColumn("source_updated_at", F.col("updated_at"))
+
+    def mixed_messages(self) -> DataFrame:
+        """Before/after events of four tables in one topic: (id, offset, timestamp, key, value)."""
+
+        def told(rows: DataFrame, number: int, table: str, image: list[str], id_col: str, key: Column, ts: str, gone: Column = F.lit(False)) -> DataFrame:
+            kinds = dict(rows.dtypes)
+            iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS").alias(c) if kinds[c] == "timestamp_ntz" else F.col(c)
+            row = F.struct(*[iso(c) for c in image])
+            source = F.struct(F.lit(table).alias("table"), F.unix_millis(F.col(ts).cast("timestamp")).alias("ts_ms"))
+            text = F.to_json(F.struct(
+                F.when(gone, "d").otherwise("c").alias("op"), F.when(gone, row).alias("before"), F.when(~gone, row).alias("after"), source.alias("source"),
+            ))
+            return rows.select(
+                F.col(id_col).alias("id"), (F.col(id_col) * 4 + number).alias("offset"), F.col(ts).cast("timestamp").alias("timestamp"),
+                F.concat(F.lit(f"{table}:"), key).alias("key"), text.alias("value"),
+            )
+
+        account = ["account_id", "customer_id", "account_type", "balance", "status", "source_updated_at"]
+        profile = ["customer_id", "first_name", "last_name", *MEMBER_ATTRIBUTES[1:], "source_updated_at"]
+        update = ["update_id", "ssn_last4", "last_name", *MEMBER_ATTRIBUTES, "operation", "source_ts"]
+        txn = ["txn_id", "account_id", "txn_type", "amount", "description", "merchant", "balance_after", "txn_ts", "source_write_ts"]
+        parts = [
+            told(self.account_changes(), 0, "accounts", account, "txn_id", F.col("account_id").cast("string"), "source_updated_at"),
+            told(self.customer_changes(), 1, "customers", profile, "update_id", F.col("customer_id").cast("string"), "source_updated_at"),
+            told(self.member_updates, 2, "member_updates", update, "update_id", F.concat_ws("|", "ssn_last4", "last_name"), "source_ts", F.col("operation") == "delete"),
+            told(self.transactions(balance=True), 3, "transactions", txn, "txn_id", F.col("account_id").cast("string"), "txn_ts"),
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
     def batch_log(self) -> DataFrame:
         """Fifty events make a batch; its path and outcome come from its rows."""
         batch = F.floor(F.col("event_id") / 50).cast("long")

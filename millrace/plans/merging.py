@@ -113,7 +113,7 @@ def net_change_rows(bank: Bank) -> DataFrame:
 
 # -- keyed tables -------------------------------------------------------------
 
-_ACCOUNT_CHANGES = {
+ACCOUNT_CHANGES = {
     "account_changes": """select 1000 + (account_id-1000)*20 as account_id, account_id-1000 as customer_id,
         'CHECKING' as account_type, balance_after as balance,
         case when txn_type='FEE' then 'FROZEN' else 'ACTIVE' end as status, txn_ts as source_updated_at, txn_id from ledger""",
@@ -123,26 +123,23 @@ _ACCOUNT_CHANGES = {
 }
 
 
-@query("merge_accounts", """select coalesce(a.account_id, f.account_id) as account_id,
+ACCOUNTS_SQL = """select coalesce(a.account_id, f.account_id) as account_id,
     coalesce(a.customer_id, f.customer_id) as customer_id, coalesce(a.account_type, f.account_type) as account_type,
     coalesce(f.balance, a.balance) as balance, coalesce(f.status, a.status) as status,
     case when f.account_id is null then a.updated_at else timestamp '2024-02-01 00:00:05' end as updated_at,
     coalesce(f.source_updated_at, a.source_updated_at) as source_updated_at
-    from accounts a full join account_fold f on f.account_id = a.account_id""", _ACCOUNT_CHANGES)
+    from accounts a full join account_fold f on f.account_id = a.account_id"""
+
+
+@query("merge_accounts", ACCOUNTS_SQL, ACCOUNT_CHANGES)
 def merge_accounts(bank: Bank) -> DataFrame:
-    user = F.col("account_id") - 1000
-    changes = bank.transactions(balance=True).select(
-        (user * 20 + 1000).alias("account_id"), user.alias("customer_id"), F.lit("CHECKING").alias("account_type"),
-        F.col("balance_after").alias("balance"),
-        F.when(F.col("txn_type") == "FEE", "FROZEN").otherwise("ACTIVE").alias("status"),
-        F.col("txn_ts").alias("source_updated_at"), "txn_id", F.lit("upsert").alias("action"),
-    )
+    changes = bank.account_changes()
     rule = account_rule(at(BATCH_TS))
     return apply_merge(bank.accounts, cut_lineage(rule.fold(changes, ["txn_id"])), rule)
 
 
 _PROFILE = ("first_name", "last_name", "email", "phone", "street", "city", "state", "zip")
-_CUSTOMER_CHANGES = {
+CUSTOMER_CHANGES = {
     "profile_changes": """select user_id*20 as customer_id, coalesce(first_name, '') as first_name, last_name,
         coalesce(email, '') as email, coalesce(phone, '') as phone, coalesce(street, '') as street,
         coalesce(city, '') as city, coalesce(state, '') as state, coalesce(zip, '') as zip, source_ts, update_id
@@ -152,19 +149,16 @@ _CUSTOMER_CHANGES = {
 }
 
 
-@query("merge_customers", "select coalesce(c.customer_id, f.customer_id) as customer_id, " + ", ".join(
+CUSTOMERS_SQL = "select coalesce(c.customer_id, f.customer_id) as customer_id, " + ", ".join(
     f"case when f.customer_id is null then c.{c} else f.{c} end as {c}" for c in _PROFILE
 ) + """, case when f.customer_id is null then c.updated_at else timestamp '2024-02-01 00:00:05' end as updated_at,
     case when f.customer_id is null then c.updated_at else f.source_ts end as source_updated_at
-    from customers c full join profile_fold f on f.customer_id = c.customer_id""", _CUSTOMER_CHANGES)
+    from customers c full join profile_fold f on f.customer_id = c.customer_id"""
+
+
+@query("merge_customers", CUSTOMERS_SQL, CUSTOMER_CHANGES)
 def merge_customers(bank: Bank) -> DataFrame:
-    target = bank.customers.drop("ssn_last4").withColumn("source_updated_at", F.col("updated_at"))
-    blank = {c: F.coalesce(F.col(c), F.lit("")) for c in MEMBER_ATTRIBUTES}
-    changes = (
-        bank.member_updates.withColumns(blank)
-        .join(bank.events.select(F.col("event_id").alias("update_id"), (F.col("user_id") * 20).alias("customer_id")), "update_id")
-        .withColumns({"source_updated_at": F.col("source_ts"), "action": F.lit("upsert")})
-    )
+    target, changes = bank.current_customers(), bank.customer_changes()
     rule = customer_rule(at(BATCH_TS))
     return apply_merge(target, cut_lineage(rule.fold(changes, _ORDER)), rule)
 

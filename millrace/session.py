@@ -44,3 +44,15 @@ def use_utc(spark: SparkSession) -> SparkSession:
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
+
+
+def own_session(spark: SparkSession, **settings: str) -> SparkSession:
+    """A session with the settings of ``spark`` and others, which stay out of it; catalog and cluster are shared.
+
+    Streams keep the settings that they start with, so those are made for a stream alone.
+    """
+    session = spark.newSession()
+    for name, value in {**dict(spark.conf.getAll), **settings}.items():
+        if session.conf.get(name, None) != value and session.conf.isModifiable(name):
+            session.conf.set(name, value)
+    return session

@@ -28,7 +28,7 @@ def _booker():
     def book(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(["txn_ts", "txn_id"])
         opening = state.get[0] if state.exists else int(rows["opening"].iloc[0])
-        for done in walk([rows.assign(opening=opening, chunk=0)]):
+        for done in walk([rows.assign(opening=opening, start_at=opening, chunk=0)]):
             state.update((int(done["after"].iloc[-1]),))
             yield done[["account_id", "txn_id", "txn_ts", "txn_type", "booked", "after", "accepted"]]
 

@@ -15,7 +15,7 @@ from millrace.operators.foldstate import DELETED, LAST, FoldRule
 from millrace.operators.merge import BROADCAST_ROWS
 from millrace.operators.ordered import number_rows
 from millrace.sources.store import SnapshotTable
-from millrace.streaming.merges import BatchLog
+from millrace.streaming.merges import BatchLog, observed
 
 STAMP, ID, ID_AT = "stamped", "surrogate", "surrogate_at"
 
@@ -123,12 +123,12 @@ class OrderedWriter:
                 merged, last_id = self._numbered(merged.persist(), last_id, few)
             live, was, hit = foldstate.is_live(), F.coalesce("_was", F.lit(False)), F.coalesce("_hit", F.lit(False))
             counted = Observation()
-            observed = merged.observe(
+            written = merged.observe(
                 counted, F.count_if(hit & live & was).alias("matched"), F.count_if(live & ~was).alias("inserted"),
                 F.count_if(hit & ~live & was).alias("deleted"),
             )
-            table.states.write_version(observed, before.version + 1)
-            outcome = {**read.get, **counted.get}
+            table.states.write_version(written, before.version + 1)
+            outcome = {**observed(read), **observed(counted)}
         finally:
             folded.unpersist()
             if table.id_column and touched:

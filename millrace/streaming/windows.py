@@ -1,12 +1,10 @@
-"""Event-time operators: de-duplication, arrival reconciliation, throughput."""
+"""Event-time operators: de-duplication and throughput."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions import latency_ms
-
 
 def with_event_time(df: DataFrame, ts_col: str, delay: str, out: str = "event_time") -> DataFrame:
     """Zone-less UTC times become instants, which watermarks need."""
@@ -18,26 +16,6 @@ def first_arrivals(stream: DataFrame, ts_col: str = "txn_ts", delay: str = "10 m
     return with_event_time(stream, ts_col, delay).dropDuplicatesWithinWatermark([key]).drop("event_time")
 
 
-def arrivals_or_pending(
-    source: DataFrame, landing: DataFrame, deadline: str = "1 minute", delay: str = "10 seconds"
-) -> DataFrame:
-    """Source rows with their landing, or without one when the deadline has passed.
-
-    The time bound on the join lets Spark drop state on both sides.
-    """
-    s = with_event_time(source, "source_write_ts", delay, "written").alias("s")
-    landed = landing.select(F.col("txn_id").alias("l_txn_id"), "ingest_ts")
-    l = with_event_time(landed, "ingest_ts", delay, "landed").alias("l")
-    on_time = F.expr(
-        f"txn_id = l_txn_id and landed >= written and landed <= written + interval {deadline}"
-    )
-    return s.join(l, on_time, "left").select(
-        "txn_id", "account_id", "source_write_ts",
-        F.col("l_txn_id").isNotNull().alias("arrived"), "ingest_ts",
-        latency_ms("source_write_ts", "ingest_ts").alias("sla_ms"),
-    )
-
-
 def sliding_throughput(
     stream: DataFrame, ts_col: str = "ingest_ts", width: str = "60 seconds", slide: str = "1 second", delay: str = "5 seconds"
 ) -> DataFrame:
