@@ -27,6 +27,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -229,9 +230,10 @@ def count_table(tables: DataFrame) -> np.ndarray:
 
 
 def compressed(docs: DataFrame, asked: DataFrame, named: Callable[[str | None], bytes] = text_hash) -> DataFrame:
-    """``sig`` and ``text`` (zstandard) of the texts that stand for the sets in ``asked`` (sig, first: doc_id and h).
+    """The rows of ``asked`` with ``text`` (zstandard), the text that their ``first`` (doc_id and h) names.
 
-    ``named`` gives the ``h`` of a text. Few counted rows are broadcast, so that no text is shuffled for the look-up.
+    ``named`` gives the ``h`` of a text. Few counted rows are broadcast, so that no
+    text is shuffled for the look-up. Rows of ``docs`` that repeat id and text give repeated rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -244,7 +246,7 @@ def compressed(docs: DataFrame, asked: DataFrame, named: Callable[[str | None],
     texts = map_batches(docs.select("doc_id", "text"), work, f"id {kind}, t binary, text binary")
     one = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
     found = texts.join(one, F.col("id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.h")))
-    return found.select("sig", "text").dropDuplicates(["sig"])
+    return found.drop("id", "t", "first")
 
 
 def _read(text: bytes, words: int) -> np.ndarray:
@@ -272,17 +274,26 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Record
         yield pa.Table.from_batches(held)
 
 
-def anchored(sets: DataFrame) -> DataFrame:
-    """``anchor``, ``sig``, ``earlier``, ``blocks``: lists of two sets and more under a common anchor.
+def anchored(sets: DataFrame, percent: int) -> DataFrame:
+    """``anchor``, ``sig``, ``first``, ``earlier``, ``blocks``: lists of two sets and more under a common anchor.
 
-    A list whose sets all share their first anchor holds no pair that was not met there.
+    A set is listed only if another one under the anchor has about its size, as others cannot be
+    similar. A list whose sets all share their first anchor holds no pair that was not met there.
     """
-    listed = sets.select("sig", "anchors", F.posexplode("anchors").alias("at", "anchor"))
-    listed = listed.select("anchor", "sig", F.slice("anchors", 1, F.col("at")).alias("earlier"), F.element_at("anchors", 1).alias("lead"))
+    # Sets of similar size lie in one class or in neighbouring ones; a percent is left for rounding.
+    size_class = F.floor(F.log("n") / math.log(100 / (percent - 1))).cast("int")
+    listed = sets.select("sig", "first", "anchors", size_class.alias("class"), F.posexplode("anchors").alias("at", "anchor"))
+    listed = listed.select(
+        "anchor", "class", "sig", "first", F.slice("anchors", 1, F.col("at")).alias("earlier"), F.element_at("anchors", 1).alias("lead")
+    )
+    counted = listed.groupBy("anchor", "class").agg(F.count("*").alias("n"))
+    beside = counted.select("anchor", "n", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"))
+    near = beside.groupBy("anchor", "class").agg(F.sum("n").alias("n")).where("n > 1")
+    listed = cut_lineage(listed.join(near, ["anchor", "class"], "left_semi"))
     lists = listed.groupBy("anchor").agg(F.count("*").alias("n"), F.min("lead").alias("low"), F.max("lead").alias("high"))
     lists = lists.where((F.col("n") > 1) & ((F.col("low") != F.col("high")) | (F.col("low") == F.col("anchor"))))
     sized = lists.select("anchor", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    return cut_lineage(listed.drop("lead").join(sized, "anchor"))
+    return cut_lineage(listed.drop("lead", "class").join(sized, "anchor"))
 
 
 def in_blocks(rows: DataFrame, by: str) -> DataFrame:
@@ -292,14 +303,16 @@ def in_blocks(rows: DataFrame, by: str) -> DataFrame:
     return spread.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks")
 
 
-def linked_in_lists(lists: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """``a``, ``b``: links that join the sets of each list (anchor, sig, blocks) into groups.
+def linked_in_lists(
+    docs: DataFrame, lists: DataFrame, words: int, percent: int, named: Callable[[str | None], bytes] = text_hash
+) -> DataFrame:
+    """``a``, ``b``: links that join the sets of each list (anchor, sig, first, blocks) into groups.
 
     ``lists`` may have ``earlier``, the anchors under which a set was met before, and ``part``, its group so far.
     """
     extra = {"earlier": F.array().cast("array<long>"), "part": F.lit(-1).cast("long")}
     lists = lists.withColumns({c: v for c, v in extra.items() if c not in lists.columns})
-    tasks = in_blocks(lists, "sig").join(texts, "sig")
+    tasks = compressed(docs, in_blocks(lists, "sig"), named)
     ordered = tasks.select("anchor", "i", "j", "own", "earlier", "sig", "text", "part")
     ordered = ordered.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
 
@@ -307,7 +320,13 @@ def linked_in_lists(lists: DataFrame, texts: DataFrame, words: int, percent: int
         for rows in _grouped(batches, 3):
             if rows.num_rows < 2:
                 continue
-            sigs, side, part = rows.column(5).to_pylist(), rows.column(3).to_numpy(), rows.column(7).to_numpy()
+            # Rows that repeat id and text are one set here.
+            sigs = rows.column(5).to_pylist()
+            once = list({sig: n for n, sig in enumerate(sigs)}.values())
+            if len(once) < 2:
+                continue
+            rows, sigs = rows.take(once), [sigs[n] for n in once]
+            side, part = rows.column(3).to_numpy(), rows.column(7).to_numpy()
             groups = Groups([_read(t, words) for t in rows.column(6).to_pylist()], side, rows.column(4).to_pylist(), percent, part)
             found = groups.links()
             if found:
@@ -468,14 +487,16 @@ def matched(entries: DataFrame, percent: int) -> DataFrame:
     return every.groupBy("x", "y").agg(F.count("*").alias("matches"), F.min("need").alias("need")).where("matches >= need").select("x", "y")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set signatures that are similar."""
-    one, two = (texts.toDF(s, f"text_{s}") for s in "ab")
+    asked = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(sets.select("sig", "first"), "sig")
+    texts = compressed(docs, asked).dropDuplicates(["sig"])
+    one, two = (texts.select(F.col("sig").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [[_read(t, words) for t in batch.column(c).to_pylist()] for c in (2, 3)]
-            good = [alike(len(np.intersect1d(x, y, True)), len(x), len(y), percent) for x, y in zip(*sets)]
+            found = [[_read(t, words) for t in batch.column(c).to_pylist()] for c in (2, 3)]
+            good = [alike(len(np.intersect1d(x, y, True)), len(x), len(y), percent) for x, y in zip(*found)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
@@ -488,11 +509,11 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     every = made.where("slice is null").drop("slice", "counts")
     table = count_table(made.where("slice is not null"))
     sets = cut_lineage(every.where("n > 0").groupBy("sig").agg(
-        F.min(F.struct("doc_id", "h")).alias("first"), F.min("doc_id").alias("least"), F.any_value("anchors").alias("anchors"),
+        F.min(F.struct("doc_id", "h")).alias("first"), F.min("doc_id").alias("least"), F.any_value("n").alias("n"),
+        F.any_value("anchors").alias("anchors"),
     ))
-    lists = anchored(sets)
-    texts = compressed(docs, lists.select("sig").distinct().join(sets, "sig").select("sig", "first"))
-    links = linked_in_lists(lists, texts, words, percent)
+    lists = anchored(sets, percent)
+    links = linked_in_lists(docs, lists, words, percent)
     groups = cut_lineage(components(links))
 
     node: Column = F.xxhash64("sig")
@@ -508,8 +529,7 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     pairs = pairs.join(named.toDF("a", "x"), "x").join(named.toDF("b", "y"), "y").select("a", "b")
     pairs = cut_lineage(pairs)
     if not pairs.isEmpty():
-        asked = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(sets, "sig").select("sig", "first")
-        more = verified(pairs, compressed(docs, asked), words, percent)
+        more = verified(docs, pairs, sets, words, percent)
         if not more.isEmpty():
             groups = components(more.unionByName(links))
     joined = cut_lineage(sets.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "least", F.coalesce("component", "sig").alias("component")))

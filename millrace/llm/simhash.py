@@ -235,20 +235,20 @@ def text_key(text: str) -> Column:
 
 
 def key_lists(members: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """``anchor``, ``sig``, ``part``, ``blocks``: the texts (h) under each key, where they lie in more than one group.
+    """``anchor``, ``sig``, ``first``, ``part``, ``blocks``: the texts (h) under each key, where they lie in more than one group.
 
     Keys with the same members are one list.
     """
     named = members.withColumn("part", F.lit(-1).cast("long"))
     if groups is not None:
         named = members.join(groups.withColumnRenamed("node", "h"), "h", "left")
-        named = named.select("h", "key", F.coalesce(F.xxhash64("component"), F.lit(-1).cast("long")).alias("part"))
+        named = named.select("h", "first", "key", F.coalesce(F.xxhash64("component"), F.lit(-1).cast("long")).alias("part"))
     own = F.when(F.col("part") == -1, F.xxhash64("h")).otherwise(F.col("part"))
     sums = [F.sum(F.xxhash64("h") % 1_000_000_007).alias("s"), F.bit_xor(F.xxhash64("h")).alias("x")]
     lists = named.groupBy("key").agg(F.count("*").alias("n"), F.min(own).alias("low"), F.max(own).alias("high"), *sums)
     once = lists.where((F.col("n") > 1) & (F.col("low") != F.col("high"))).groupBy("n", "s", "x").agg(F.min("key").alias("key"))
     sized = once.select("key", F.ceil(F.col("n") / multimatch.BLOCK).cast("int").alias("blocks"))
-    return cut_lineage(named.join(sized, "key").select(F.col("key").alias("anchor"), F.col("h").alias("sig"), "part", "blocks"))
+    return cut_lineage(named.join(sized, "key").select(F.col("key").alias("anchor"), F.col("h").alias("sig"), "first", "part", "blocks"))
 
 
 def near_copies(df: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 26, rows: int = 4, first: int = 4) -> DataFrame:
@@ -278,14 +278,12 @@ def near_copies(df: DataFrame, words: int = 5, similarity: float = 0.8, bands: i
 
     every = cut_lineage(map_batches(known, work, f"doc_id {kind_of_id}, h binary, keys array<long>"))
     named = cut_lineage(every.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.any_value("keys").alias("keys")))
-    members = named.select("h", F.posexplode("keys").alias("band", "key"))
+    members = named.select("h", F.struct(F.col("first").alias("doc_id"), "h").alias("first"), F.posexplode("keys").alias("band", "key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = cut_lineage(members.join(shared, "key").select("key", "h", "band"))
-    asked = members.select("h").distinct().join(named, "h").select(F.col("h").alias("sig"), F.struct(F.col("first").alias("doc_id"), "h").alias("first"))
-    texts = cut_lineage(multimatch.compressed(known, asked, named_by))
-    links = multimatch.linked_in_lists(key_lists(members.where(F.col("band") < first).drop("band"), None), texts, words, percent)
+    members = cut_lineage(members.join(shared, "key").select("key", "h", "first", "band"))
+    links = multimatch.linked_in_lists(known, key_lists(members.where(F.col("band") < first).drop("band"), None), words, percent, named_by)
     groups = cut_lineage(components(links))
-    more = multimatch.linked_in_lists(key_lists(members.where(F.col("band") >= first).drop("band"), groups), texts, words, percent)
+    more = multimatch.linked_in_lists(known, key_lists(members.where(F.col("band") >= first).drop("band"), groups), words, percent, named_by)
     if not more.isEmpty():
         groups = components(links.unionByName(more))
     found = named.select("h", "first", "rows").join(groups.withColumnRenamed("node", "h"), "h", "left").where("rows > 1 or component is not null")
