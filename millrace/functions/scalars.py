@@ -19,10 +19,6 @@ def latency_ms(start, end) -> Column:
     return F.unix_millis(_c(end).cast("timestamp")) - F.unix_millis(_c(start).cast("timestamp"))
 
 
-def add_seconds(ts, seconds: float) -> Column:
-    return (_c(ts) + F.make_dt_interval(secs=F.lit(seconds))).cast("timestamp_ntz")
-
-
 def ms_precision(ts) -> Column:
     """Cut a timestamp to whole milliseconds, zone-less."""
     return F.date_trunc("MILLISECOND", _c(ts)).cast("timestamp_ntz")
@@ -68,15 +64,6 @@ def trimmed_key(c) -> Column:
     return F.trim(blank_if_null(c))
 
 
-def keep_new(new, old) -> Column:
-    """The new value unless it is null."""
-    return F.coalesce(_c(new), _c(old))
-
-
-def default_operation(c) -> Column:
-    return F.coalesce(null_if_blank(c), F.lit("upsert"))
-
-
 def is_true_text(c) -> Column:
     return F.coalesce(_c(c) == "true", F.lit(False))
 

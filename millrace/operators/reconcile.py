@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import latency_ms, null_if_zero
 from millrace.operators.serving import known_ids, only_listed
+from millrace.session import cut_lineage
 
 _BOUNDED_ROWS = 10_000
 
@@ -20,16 +21,19 @@ def reconcile(
 ) -> DataFrame:
     """Each source row with its landed row, if any, and the current balance.
 
-    Repeated landed ids count once, the newest. ``source_rows`` is a known bound
-    of the source side (a top-n); a small one filters landing and accounts by
-    broadcast ids, so neither big table is shuffled.
+    Repeated landed ids count once, the newest. ``source_rows`` says that the source
+    side is a top-n: it is worked out once and counted, and if it is small, landing and accounts are
+    filtered by broadcast ids, so that neither big table is shuffled.
     """
-    small = source_rows is not None and source_rows <= _BOUNDED_ROWS
+    small = False
+    if source_rows is not None:
+        source = cut_lineage(source)
+        small = source.count() <= _BOUNDED_ROWS
     arrivals = known_ids(landing.select("txn_id", "source_write_ts", "ingest_ts"), "txn_id")
     balances = accounts.select("account_id", F.col("balance").alias("current_balance"))
     if small:
-        arrivals = only_listed(arrivals, source, "txn_id", bounded=True)
-        balances = only_listed(balances, source, "account_id", bounded=True)
+        arrivals = only_listed(arrivals, source, "txn_id", counted=True)
+        balances = only_listed(balances, source, "account_id", counted=True)
     sla = latency_ms("source_write_ts", "ingest_ts")
     # Times only, so copies of an id are combined in a hash table before the shuffle.
     newest = arrivals.groupBy("txn_id").agg(

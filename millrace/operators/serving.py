@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import full_name, latency_ms
 from millrace.operators.ordered import top_per_key
 
+_FEW_ROWS = 10_000
 FEED_COLUMNS = (
     "txn_id", "account_id", "txn_type", "amount", "merchant", "txn_ts", "source_write_ts", "ingest_ts",
 )
@@ -34,9 +35,14 @@ def account_activity(accounts: DataFrame, customers: DataFrame, landing: DataFra
 
 
 def account_lookup(accounts: DataFrame, customers: DataFrame, account_id) -> DataFrame:
-    """One account with its owner. The key filter bounds the account side to one row."""
+    """One account with its owner.
+
+    Nothing enforces that an account is one row, so its rows are counted, no further than
+    the bound, before they are broadcast.
+    """
     one = accounts.where(F.col("account_id") == account_id)
-    return F.broadcast(one).join(customers, "customer_id").select(
+    small = one.limit(_FEW_ROWS + 1).count() <= _FEW_ROWS
+    return (F.broadcast(one) if small else one).join(customers, "customer_id").select(
         "account_id", "account_type", "balance", "status",
         one["updated_at"].alias("updated_at"), one["source_updated_at"].alias("source_updated_at"),
         full_name("first_name", "last_name").alias("customer_name"),
@@ -99,7 +105,7 @@ def known_ids(rows: DataFrame, key: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull() & (F.col(key) != 0))
 
 
-def only_listed(df: DataFrame, ids: DataFrame, key: str, bounded: bool = False) -> DataFrame:
-    """IN-list against another result; broadcast only when the caller bounds it."""
+def only_listed(df: DataFrame, ids: DataFrame, key: str, counted: bool = False) -> DataFrame:
+    """IN-list against another result; broadcast only where the caller has counted it."""
     wanted = ids.select(key)
-    return df.join(F.broadcast(wanted) if bounded else wanted, key, "left_semi")
+    return df.join(F.broadcast(wanted) if counted else wanted, key, "left_semi")

@@ -258,11 +258,11 @@ class Bank:
         ]
         return reduce(DataFrame.unionByName, parts)
 
-    def batch_log(self) -> DataFrame:
+    def batch_log(self, paths: tuple[str, ...] = ("txn", "keyed", "member")) -> DataFrame:
         """Fifty events make a batch; its path and outcome come from its rows."""
         batch = F.floor(F.col("event_id") / 50).cast("long")
         kind = F.col("event_type")
-        path = F.element_at(F.array(F.lit("txn"), F.lit("keyed"), F.lit("member")), (F.col("batch_no") % 3 + 1).cast("int"))
+        path = F.element_at(F.array(*map(F.lit, paths)), (F.col("batch_no") % len(paths) + 1).cast("int"))
         return (
             self.events.groupBy(batch.alias("batch_no"))
             .agg(

@@ -12,7 +12,7 @@ from millrace.functions import latency_ms
 from millrace.operators import metrics, reconcile, serving
 from millrace.plans.fixtures import Bank, at
 from millrace.plans.merging import members_of
-from millrace.plans.oracles import fold_sql
+from millrace.plans.oracles import TABLES, fold_sql
 from millrace.plans.registry import query
 from millrace.sources import scans
 
@@ -250,6 +250,24 @@ def rolling_percentiles(bank: Bank) -> DataFrame:
     return metrics.rolling_percentiles(rows, ["txn_type"], "sla_ms", ["txn_id"])
 
 
+_BOUND = 0.01
+
+
+@query("sketch_percentiles", "select txn_type, count(*) as n, true as p50_holds, true as p95_holds, true as p99_holds from landing group by txn_type")
+def sketch_percentiles(bank: Bank) -> DataFrame:
+    """One sketch per batch of a thousand rows, merged per type; each percentile's rank is checked on the rows."""
+    rows = bank.landing().select("txn_id", "txn_type", latency_ms("source_write_ts", "ingest_ts").alias("sla_ms"))
+    batches = rows.groupBy("txn_type", F.floor(F.col("txn_id") / 1000).alias("batch_no")).agg(metrics.quantile_sketch(F.col("sla_ms")).alias("sketch"))
+    found = metrics.sketch_percentiles(batches, ["txn_type"], "sketch")
+    ranked = rows.join(F.broadcast(found), "txn_type").groupBy("txn_type", "n")
+
+    def holds(p: int) -> Column:
+        below, upto = (F.count_if(F.col("sla_ms") < F.col(f"p{p}")), F.count_if(F.col("sla_ms") <= F.col(f"p{p}")))
+        return ((below / F.count("*") <= p / 100 + _BOUND) & (upto / F.count("*") >= p / 100 - _BOUND)).alias(f"p{p}_holds")
+
+    return ranked.agg(*[holds(p) for p in (50, 95, 99)])
+
+
 _RATE = {
     "entries": "select * from batch_log",
     "newest": "select max(finished_ts) as as_of from batch_log",
@@ -299,17 +317,29 @@ _STATUS = {
 }
 
 
-@query("status_row", "select " + ", ".join(
-    f"(select p{p} from points where path='{path}') as {path}_p{p}_ms" for path in ("txn", "keyed", "member") for p in (50, 95, 99)
-) + ", " + ", ".join(
-    f"(select cast(coalesce(sum(rows), 0) as bigint) from batch_log where path='{path}') as total_{path}" for path in ("txn", "keyed", "member")
-) + """, (select cast(sum(matched) as bigint) from batch_log) as member_matched,
+def _status_sql(paths: tuple[str, ...]) -> str:
+    points = [f"(select p{p} from points where path='{path}') as {path}_p{p}_ms" for path in paths for p in (50, 95, 99)]
+    totals = [f"(select cast(coalesce(sum(rows), 0) as bigint) from batch_log where path='{path}') as total_{path}" for path in paths]
+    return "select " + ", ".join([*points, *totals]) + """, (select cast(sum(matched) as bigint) from batch_log) as member_matched,
     (select cast(sum(inserted) as bigint) from batch_log) as member_inserted,
     (select cast(sum(errors) as bigint) from batch_log) as errors,
     (select cast(coalesce(r60, 0) as bigint) from rate) as rows_last_60s,
     (select cast(coalesce(r5, 0) as bigint) from rate) as rows_last_5s,
     (select round(coalesce(r5, 0) / 5, 1) from rate) as tps_last_5s,
-    (select cast(epoch(date_trunc('second', as_of)) - epoch(timestamp '2024-01-01') as bigint) from newest) as uptime_s""", _STATUS)
+    (select cast(epoch(date_trunc('second', as_of)) - epoch(timestamp '2024-01-01') as bigint) from newest) as uptime_s"""
+
+
+@query("status_row", _status_sql(metrics.PATHS), _STATUS)
 def status_row(bank: Bank) -> DataFrame:
     log = bank.batch_log()
     return metrics.status_row(log, log.agg(F.max("finished_ts")).scalar(), at("2024-01-01 00:00:00"))
+
+
+@query("status_by_table", _status_sql(metrics.TABLE_PATHS), {
+    **_STATUS, "batch_log": TABLES["batch_log"].replace("case batch_no%3 when 0 then 'txn' when 1 then 'keyed' else 'member' end",
+        "case batch_no%4 when 0 then 'txn' when 1 then 'account' when 2 then 'customer' else 'member' end"),
+})
+def status_by_table(bank: Bank) -> DataFrame:
+    """The status row of a log that keeps accounts and customers apart."""
+    log = bank.batch_log(metrics.TABLE_PATHS)
+    return metrics.status_row(log, log.agg(F.max("finished_ts")).scalar(), at("2024-01-01 00:00:00"), metrics.TABLE_PATHS)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions import utc_now
 from millrace.operators import foldstate
 from millrace.operators.changes import SKIP
 from millrace.operators.foldstate import DELETED, LAST, FoldRule
@@ -85,7 +86,7 @@ class OrderedWriter:
 
     table: OrderedTable
     name: str = "member"
-    stamp: Column = field(default_factory=F.localtimestamp)
+    stamp: Column = field(default_factory=utc_now)
     log: BatchLog | None = None
 
     def __call__(self, changes: DataFrame, batch_id: int) -> None:

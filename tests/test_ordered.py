@@ -6,7 +6,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from millrace.operators import ledger, metrics
-from millrace.operators.ordered import newest_per_key, number_rows, previous_value, running_sum, top_per_key
+from millrace.operators.ordered import newest_per_key, number_rows, previous_value, running_sum, split_heavy, top_per_key
 from millrace.schemas import OUTGOING_TYPES, TXN_TYPES
 from tests.models import replay_one_by_one
 
@@ -138,3 +138,52 @@ def test_streamed_replay_equals_batch(spark, tmp_path):
     want = {r.txn_id: (r.amount, r.balance_after, r.accepted) for r in ledger.replay(a, t).collect()}
     got = {r.txn_id: (r.amount, r.balance_after, r.accepted) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == want
+
+
+def test_only_heavy_keys_are_chunked(spark, tmp_path):
+    rows = busy_rows(3000)
+    frame(spark, rows).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    light = df.where("k <> 0")
+    for made in (running_sum(light, ["k"], ["ts", "id"], F.col("v"), "s", max_rows=1000), previous_value(light, ["k"], ["ts", "id"], "v", "p", max_rows=1000)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "ExistingRDD" not in plan and "Range" not in plan
+    light_rows, heavy_rows, many = split_heavy(df, ["k"], 1000)
+    assert many == heavy_rows.count() == sum(k == 0 for _, k, *_ in rows) and {r.k for r in heavy_rows.select("k").distinct().collect()} == {0}
+    assert light_rows.count() + many == 3000
+    nulls = df.withColumn("k", F.when(F.col("k") != 0, F.col("k")))
+    got = running_sum(nulls, ["k"], ["ts", "id"], F.col("v"), "s", max_rows=1000)
+    want = running_sum(nulls, ["k"], ["ts", "id"], F.col("v"), "s", max_rows=10_000)
+    assert got.exceptAll(want).count() == 0 and got.count() == 3000
+
+
+def test_only_rows_from_the_first_break_are_walked(spark):
+    accounts = [(0, "CHECKING", Decimal("1000.00")), (1, "CHECKING", Decimal("50.00"))]
+    txns = [(i, i % 2, T0 + timedelta(seconds=i), "DEBIT", Decimal("-10.00")) for i in range(60)]
+    a = spark.createDataFrame(accounts, "account_id long, account_type string, balance decimal(18,2)")
+    t = spark.createDataFrame(txns, "txn_id long, account_id long, txn_ts timestamp_ntz, txn_type string, amount decimal(18,2)")
+    rows = t.join(a, "account_id").selectExpr(
+        "account_id", "0 as chunk", "txn_id", "txn_ts", "txn_type", "cast(amount * 100 as long) as cents", "true as outgoing", "true as deposit",
+        "cast(balance * 100 as long) as opening",
+    )
+    full, rest = ledger.by_rule(rows)
+    assert full.where("account_id = 0").count() == 30 and rest.where("account_id = 0").count() == 0
+    # 50.00 pays five debits; the sixth and what follows are walked, from a balance of nothing.
+    assert full.where("account_id = 1").count() == 5 and {r.start_at for r in rest.collect()} == {0}
+    got = {r.txn_id: (r.balance_after, r.accepted) for r in ledger.replay(a, t).collect()}
+    assert got[58] == (Decimal("700.00"), True) and got[9] == (Decimal("0.00"), True) and not got[11][1]
+
+
+def test_sketches_of_batches_merge(spark):
+    rng = random.Random(3)
+    values = [(i // 100, "ab"[i % 2], int(rng.expovariate(0.001))) for i in range(20_000)]
+    df = spark.createDataFrame(values, "batch int, k string, v long")
+    stored = df.groupBy("batch", "k").agg(metrics.quantile_sketch(F.col("v")).alias("sketch"))
+    none = spark.createDataFrame([(999, "a", None), (999, "c", None)], "batch int, k string, sketch binary")
+    found = {r.k: r for r in metrics.sketch_percentiles(stored.unionByName(none), ["k"], "sketch").collect()}
+    for k in "ab":
+        own = sorted(v for _, b, v in values if b == k)
+        assert found[k].n == len(own)
+        for p in (50, 95, 99):
+            below, upto = sum(v < found[k][f"p{p}"] for v in own), sum(v <= found[k][f"p{p}"] for v in own)
+            assert below / len(own) <= p / 100 + 0.01 and upto / len(own) >= p / 100 - 0.01
