@@ -181,6 +181,7 @@ def test_sketches_of_batches_merge(spark):
     stored = df.groupBy("batch", "k").agg(metrics.quantile_sketch(F.col("v")).alias("sketch"))
     none = spark.createDataFrame([(999, "a", None), (999, "c", None)], "batch int, k string, sketch binary")
     found = {r.k: r for r in metrics.sketch_percentiles(stored.unionByName(none), ["k"], "sketch").collect()}
+    assert set(found) == {"a", "b"}
     for k in "ab":
         own = sorted(v for _, b, v in values if b == k)
         assert found[k].n == len(own)
