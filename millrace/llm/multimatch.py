@@ -50,12 +50,14 @@ ANCHORS = 3
 TABLE_BITS, SLICES = 18, 16
 #: Prefixes ask for up to MOST_MATCHES matches; a verification costs about as much as VERIFY list entries.
 MOST_MATCHES, VERIFY = 6, 20
-#: Sets of a block, entries of a list that one task holds, counted rows that may be broadcast.
-BLOCK, LIST, BROADCAST_ROWS = 1024, 16_384, 200_000
+#: Sets of a block, entries of a list that one task holds.
+BLOCK, LIST = 1024, 16_384
 SHUFFLED = "token long, node long, part long, x long, y long, z long, size long"
 NAMES = ["token", "node", "part", "x", "y", "z", "size"]
 #: Lists of up to so many entries are paired together, longer ones one by one.
 SHORT = 64
+#: Pairs of list entries that a task compares at once.
+PAIRS = 250_000
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -232,8 +234,8 @@ def count_table(tables: DataFrame) -> np.ndarray:
 def compressed(docs: DataFrame, asked: DataFrame, named: Callable[[str | None], bytes] = text_hash) -> DataFrame:
     """The rows of ``asked`` with ``text`` (zstandard), the text that their ``first`` (doc_id and h) names.
 
-    ``named`` gives the ``h`` of a text. Few counted rows are broadcast, so that no
-    text is shuffled for the look-up. Rows of ``docs`` that repeat id and text give repeated rows.
+    ``named`` gives the ``h`` of a text. The texts are shuffled once for it, at every size alike.
+    Rows of ``docs`` that repeat id and text give repeated rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -242,10 +244,8 @@ def compressed(docs: DataFrame, asked: DataFrame, named: Callable[[str | None],
         texts = [t.as_py() for t in batch.column(1)]
         return {"id": batch.column(0), "t": [named(t) for t in texts], "text": [press((t or "").encode()) for t in texts]}
 
-    asked = cut_lineage(asked)
     texts = map_batches(docs.select("doc_id", "text"), work, f"id {kind}, t binary, text binary")
-    one = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
-    found = texts.join(one, F.col("id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.h")))
+    found = texts.join(asked.hint("merge"), F.col("id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.h")))
     return found.drop("id", "t", "first")
 
 
@@ -331,6 +331,7 @@ def linked_in_lists(
             found = groups.links()
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([sigs[p[n]] for p in found], pa.binary()) for n in (0, 1)], names=["a", "b"])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return cut_lineage(bounded(ordered).mapInArrow(run, "a binary, b binary"))
 
@@ -384,7 +385,7 @@ def _long_list(rows: np.ndarray, valid: np.ndarray, percent: int, own: np.ndarra
     _, inverse, counts = np.unique(rows[:, 1], return_inverse=True, return_counts=True)
     outside = inverse != counts.argmax()
     rank = np.where(outside, np.arange(len(rows)), -1)
-    stripe = max(1, 2_000_000 // len(rows))
+    stripe = max(1, PAIRS // len(rows))
     left = np.flatnonzero(outside)
     for at in range(0, len(left), stripe):
         part = left[at : at + stripe]
@@ -401,7 +402,7 @@ def _lists(rows: np.ndarray, valid: np.ndarray, starts: np.ndarray, percent: int
         yield from _long_list(rows[where], valid[where], percent)
     first, size = starts[mixed & (sizes <= SHORT)], sizes[mixed & (sizes <= SHORT)]
     pairs = np.cumsum(size * (size - 1) // 2)
-    cuts = np.searchsorted(pairs, np.arange(1_000_000, pairs[-1], 1_000_000)) if len(pairs) else []
+    cuts = np.searchsorted(pairs, np.arange(PAIRS, pairs[-1], PAIRS)) if len(pairs) else []
     for f, m in zip(np.split(first, cuts), np.split(size, cuts)):
         # Every row with all rows before it in its list.
         place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
@@ -467,6 +468,7 @@ def matched(entries: DataFrame, percent: int) -> DataFrame:
                 held, known, passed_on = held[:0], known[:0], True
         if len(held):
             yield from _lists(held, known, np.zeros(1, np.int64), percent)
+        pa.default_memory_pool().release_unused()
 
     # Pairs have no size; entries of lists that are too long for one task come out as they are.
     found = cut_lineage(ordered.mapInArrow(whole, StructType.fromDDL(SHUFFLED)))
