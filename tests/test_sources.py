@@ -139,3 +139,13 @@ def test_late_and_skewed_rows_end_as_arrived(spark, tmp_path):
     # 4 has landed before it was due; the repeated 1 does not undo its arrival.
     assert state[1][0] and state[4][0] and state[2] == (False, None, None)
     assert reports.where("txn_id = 2").count() == 1
+
+
+def test_own_session_keeps_its_settings_to_itself(spark):
+    spark.conf.set("millrace.test", "kept")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    session = own_session(spark, **{"spark.sql.shuffle.partitions": "3"}, **TO_THE_END)
+    assert session.conf.get("spark.sql.shuffle.partitions") == "3" and session.conf.get("millrace.test") == "kept"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") != "false"
+    spark.conf.unset("millrace.test")
