@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -53,6 +54,10 @@ def own_session(spark: SparkSession, **settings: str) -> SparkSession:
     """
     session = spark.newSession()
     for name, value in {**dict(spark.conf.getAll), **settings}.items():
-        if session.conf.get(name, None) != value and session.conf.isModifiable(name):
-            session.conf.set(name, value)
+        if session.conf.get(name, None) != value:
+            try:
+                session.conf.set(name, value)
+            except PySparkException:  # fixed for the whole application, so the same there
+                if name in settings:
+                    raise
     return session
