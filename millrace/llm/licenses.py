@@ -1,11 +1,11 @@
 """License scans by conditional compression.
 
-Around words that licences use, every template is looked for word by word, across
-line breaks and comment signs; where its words stand together it is confirmed,
-and its place is a block. Other lines with such words are candidate blocks. Each
-is compressed alone and with every template as a zstandard raw dictionary; the
-templates are ranked by the share of bytes that they save. The best few are then
-compared with the block, which lists the words it lacks.
+Around words that licences use, an index of words delimits the stretches where those
+of a template stand together, across line breaks and comment signs; other lines with such
+words are candidate blocks as well. Each is compressed alone and with every template as a zstandard
+raw dictionary; the templates are ranked by the share of bytes that they save. The best few are then
+compared with the block word by word, which confirms a wording and lists the words it lacks. In a
+stretch the ranking is gone down, a few at a time, until a wording is confirmed.
 
 A null or empty text has no blocks. Of wordings that overlap the one with the most
 words found stays; ties go to the template that comes first by name. Repeated rows are scanned each on its own, a block being known by the
@@ -16,6 +16,8 @@ rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -90,7 +92,7 @@ TEMPLATES = {
 #: Characters that a block reaches beyond a cue within its line, and between cues of one block.
 REACH = 400
 LEVEL = 9
-#: Templates that are compared word by word, and the share of their words that confirms one.
+#: Templates that are compared word by word at a time, and the share of their words that confirms one.
 COMPARED, CONFIRMED = 4, 0.9
 #: Words; a hyphen may end a line, and comment signs may begin the next one.
 SIGNS = r"[ \t]*\r?\n[\s#*/;%>|!-]*"
@@ -144,10 +146,11 @@ class Scanner:
         for n, (_, words, _, _) in enumerate(self.templates):
             for i, w in enumerate(words):
                 self.places.setdefault(w, []).append((n, i))
+        self.tallies = [Counter(words) for _, words, _, _ in self.templates]
 
     def confirmed(self, text: str) -> list[tuple]:
         """(start, stop, template, share, lacks) of the wordings in ``text``, in order, without overlap."""
-        found = []
+        found = set()
         for low, high in surroundings(text, self.reach):
             spots = [m.span() for m in WORD.finditer(text, low, high)]
             words = [re.sub(SIGNS, "", text[a:b]).lower() for a, b in spots]
@@ -155,37 +158,84 @@ class Scanner:
             for at, w in enumerate(words):
                 for n, i in self.places.get(w, ()):
                     shifts.setdefault(n, []).append(at - i)
+            ranks: dict[tuple[int, int], list[int]] = {}
             for n, moved in shifts.items():
-                found += self._placed(n, moved, words, spots)
-        found.sort(key=lambda f: (-f[5], f[2], f[0]))
+                for first, last in self._delimited(n, moved, words):
+                    found |= self._named(n, first, last, words, spots, text, ranks)
         chosen: list[tuple] = []
-        for f in found:
+        for f in sorted(found, key=lambda f: (-f[5], f[2], f[0])):
             if all(f[1] <= c[0] or f[0] >= c[1] for c in chosen):
                 chosen.append(f)
-        return [c[:5] for c in sorted(chosen)]
+        return [(*c[:4], list(c[4])) for c in sorted(chosen)]
 
-    def _placed(self, n: int, moved: list[int], words: list[str], spots: list[tuple[int, int]]) -> list[tuple]:
-        """Places where template ``n`` is confirmed, given how far its words are moved in the text."""
-        wanted = self.templates[n][1]
-        size, step = len(wanted), max(2, len(wanted) // 8)
+    def _delimited(self, n: int, moved: list[int], words: list[str]) -> Iterator[tuple[int, int]]:
+        """Stretches of words where those of template ``n`` stand together, given how far they are moved in the text."""
+        size, step = len(self.templates[n][1]), self._step(n)
         bins: dict[int, int] = {}
         for m in moved:
             bins[m // step] = bins.get(m // step, 0) + 1
-        made = []
         # Words that were put in move the rest on, so a wording may fill several bins.
         for b, count in bins.items():
             if sum(bins.get(b + k, 0) for k in range(3)) < 0.7 * size or bins.get(b - 1, 0) + bins.get(b - 2, 0) + count < 0.2 * size:
                 continue
-            low, high = max(0, b * step), min(len(words), (b + 3) * step + size)
-            pairs = SequenceMatcher(None, wanted, words[low:high], autojunk=False).get_matching_blocks()[:-1]
-            kept = {i for a, _, length in pairs for i in range(a, a + length)}
-            if len(kept) < CONFIRMED * size:
-                continue
-            first, last = low + pairs[0].b, low + pairs[-1].b + pairs[-1].size
-            if last - first > size + 2 * step:
+            yield max(0, b * step), min(len(words), (b + 3) * step + size)
+
+    def _step(self, n: int) -> int:
+        return max(2, len(self.templates[n][1]) // 8)
+
+    def _named(
+        self, n: int, low: int, high: int, words: list[str], spots: list[tuple[int, int]], text: str, ranks: dict[tuple[int, int], list[int]]
+    ) -> set[tuple]:
+        """The wordings of a stretch in which the words of template ``n`` stand: its best ranked templates, confirmed word by word.
+
+        The ranking is gone down until one is confirmed. If that is not ``n``, what is left and right of it is ranked by itself.
+        """
+        if not self._may_hold(n, words[low:high]):
+            return set()
+        if (low, high) not in ranks:
+            ranks[low, high] = self.ranked(text[spots[low][0] : spots[high - 1][1]].encode())
+        order = ranks[low, high]
+        for at in range(0, len(order), COMPARED):
+            sure = [w for m in order[at : at + COMPARED] if (w := self._compared(m, low, high, words))]
+            if not sure:
                 continue
-            made.append((spots[first][0], spots[last - 1][1], n, len(kept) / size, [w for i, w in enumerate(wanted) if i not in kept], len(kept)))
-        return made
+            first, last, m, share, lacks, kept = min(sure, key=lambda w: (-w[5], w[2]))
+            made = {(spots[first][0], spots[last - 1][1], m, share, lacks, kept)}
+            if m != n:
+                for a, b in ((low, first), (last, high)):
+                    made |= self._named(n, a, b, words, spots, text, ranks)
+            return made
+        return set()
+
+    def _may_hold(self, n: int, words: list[str]) -> bool:
+        """Whether so many words of template ``n`` are there, in any order, that it may be confirmed."""
+        wanted = self.tallies[n]
+        there = Counter(w for w in words if w in wanted)
+        return (wanted & there).total() >= CONFIRMED * wanted.total()
+
+    def _compared(self, n: int, low: int, high: int, words: list[str]) -> tuple | None:
+        """(first, last, template, share, lacks, words found) of template ``n`` in a stretch, if its wording is there."""
+        wanted = self.templates[n][1]
+        size = len(wanted)
+        if not self._may_hold(n, words[low:high]):
+            return None
+        pairs = SequenceMatcher(None, wanted, words[low:high], autojunk=False).get_matching_blocks()[:-1]
+        kept = {i for a, _, length in pairs for i in range(a, a + length)}
+        if len(kept) < CONFIRMED * size:
+            return None
+        first, last = low + pairs[0].b, low + pairs[-1].b + pairs[-1].size
+        if last - first > size + 2 * self._step(n):
+            return None
+        return first, last, n, len(kept) / size, tuple(w for i, w in enumerate(wanted) if i not in kept), len(kept)
+
+    def ranked(self, data: bytes) -> list[int]:
+        """All templates by the share of bytes that they save as a dictionary of ``data``, best first."""
+        return [n for _, n in self.savings(data)]
+
+    def savings(self, data: bytes) -> list[tuple[float, int]]:
+        alone = len(self.alone.compress(data))
+        found = [(1 - len(press.compress(data)) / alone, n) for n, (_, _, press, _) in enumerate(self.templates)]
+        return sorted(found, key=lambda s: (-s[0], s[1]))
 
     def blocks(self, text: str) -> list[tuple]:
         """(start, length, license, nearest, saving, share, lacks) of each block of a text."""
@@ -216,10 +266,7 @@ class Scanner:
 
     def judge(self, block: str) -> tuple:
         """License or None, its saving, the share of its words found, and the words it lacks."""
-        data = block.encode()
-        alone = len(self.alone.compress(data))
-        savings = [(1 - len(press.compress(data)) / alone, n) for n, (_, _, press, _) in enumerate(self.templates)]
-        ranked = sorted(savings, key=lambda s: (-s[0], s[1]))[:COMPARED]
+        ranked = self.savings(block.encode())[:COMPARED]
         words = words_of(block)
         judged = []
         for saving, n in ranked:
