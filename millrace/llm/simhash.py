@@ -34,6 +34,8 @@ from millrace.llm.phrases import BASE, mixed
 from millrace.session import cut_lineage
 
 SEED = 42
+#: Words of a shingle of the fingerprints.
+SHINGLE = 4
 BYTES = 8
 #: Fingerprints of one list that a task compares by itself; longer lists are split into pairs of blocks.
 LIST = 16_384
@@ -60,7 +62,7 @@ def shingle_bits(text: str | None, words: int, seed: int) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = SEED) -> DataFrame:
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """``id_col``, ``fp`` (the fingerprint as a signed long)."""
 
     def work(batch: pa.RecordBatch) -> dict:
@@ -195,7 +197,7 @@ def _forest(fps: np.ndarray, own: np.ndarray, i: int, j: int, least: int, radius
     return made
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, radius: int = 4) -> DataFrame:
     """``id_col``, ``fp``, ``component_id``: the smallest id that a document reaches over links."""
     fps = cut_lineage(fingerprints(df, id_col, text_col, words))
     firsts = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
@@ -242,7 +244,9 @@ def key_lists(members: DataFrame, groups: DataFrame | None) -> DataFrame:
     named = members.withColumn("part", F.lit(-1).cast("long"))
     if groups is not None:
         named = members.join(groups.withColumnRenamed("node", "h"), "h", "left")
-        named = named.select("h", "first", "key", F.coalesce(F.xxhash64("component"), F.lit(-1).cast("long")).alias("part"))
+        # The hash of a null is not null.
+        part = F.when(F.col("component").isNotNull(), F.xxhash64("component")).otherwise(F.lit(-1).cast("long"))
+        named = named.select("h", "first", "key", part.alias("part"))
     own = F.when(F.col("part") == -1, F.xxhash64("h")).otherwise(F.col("part"))
     sums = [F.sum(F.xxhash64("h") % 1_000_000_007).alias("s"), F.bit_xor(F.xxhash64("h")).alias("x")]
     lists = named.groupBy("key").agg(F.count("*").alias("n"), F.min(own).alias("low"), F.max(own).alias("high"), *sums)
@@ -256,12 +260,14 @@ def near_copies(df: DataFrame, words: int = 5, similarity: float = 0.8, bands: i
 
     ``h`` is the ``text_key``; the kept row of a group has the smallest id, then
     the smallest key. Rows alone in their group and rows without an id are left
-    out. A pair is looked at if one of its ``bands`` keys agrees, unless both are in
-    one group already, and is verified on the shingles themselves. A pair of similarity s is missed with a chance of
-    (1 - s ** rows) ** bands: about one in a million at 0.8, for added and removed
-    words as for replaced ones. Equal texts are one text here, whatever their number.
+    out. Equal texts are one text here, whatever their number.
 
-    The ``first`` keys join most groups; under the others only lists that still hold
+    Texts whose fingerprints link (``links``, four bits) are one list, and each of their pairs is verified on the
+    shingles themselves. Fingerprints of texts at that similarity may lie further apart, where words were added or
+    removed; so a pair that is not in one group by then is also looked at if one of its ``bands`` keys agrees. A pair
+    of similarity s beyond the four bits is missed with a chance of (1 - s ** rows) ** bands: about one in a million at 0.8.
+
+    The ``first`` keys join most of what is left; under the others only lists that still hold
     several groups are looked at. A list is joined inside a task, long ones in pairs of blocks, so
     that texts travel once per list and block and only links between groups come out.
     """
@@ -274,18 +280,28 @@ def near_copies(df: DataFrame, words: int = 5, similarity: float = 0.8, bands: i
 
     def work(batch: pa.RecordBatch) -> dict:
         texts = [t.as_py() for t in batch.column(1)]
-        return {"doc_id": batch.column(0), "h": [named_by(t) for t in texts], "keys": [band_keys(t, words, bands, rows) for t in texts]}
-
-    every = cut_lineage(map_batches(known, work, f"doc_id {kind_of_id}, h binary, keys array<long>"))
-    named = cut_lineage(every.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.any_value("keys").alias("keys")))
-    members = named.select("h", F.struct(F.col("first").alias("doc_id"), "h").alias("first"), F.posexplode("keys").alias("band", "key"))
+        return {
+            "doc_id": batch.column(0), "h": [named_by(t) for t in texts], "fp": [shingle_bits(t, SHINGLE, SEED) for t in texts],
+            "keys": [band_keys(t, words, bands, rows) for t in texts],
+        }
+
+    every = cut_lineage(map_batches(known, work, f"doc_id {kind_of_id}, h binary, fp long, keys array<long>"))
+    tops = [F.min("doc_id").alias("first"), F.count("*").alias("rows"), *[F.any_value(c).alias(c) for c in ("fp", "keys")]]
+    named = cut_lineage(every.groupBy("h").agg(*tops))
+    one = F.struct(F.col("first").alias("doc_id"), "h").alias("first")
+    near = components(links(named.select(F.lit(0).alias("kind"), "fp"))).withColumnRenamed("node", "fp")
+    members = named.select("h", one, "fp").join(near, "fp", "left").select("h", "first", F.coalesce("component", "fp").alias("key"))
+    found = multimatch.linked_in_lists(known, key_lists(members, None), words, percent, named_by)
+    groups = cut_lineage(components(found))
+
+    members = named.select("h", one, F.posexplode("keys").alias("band", "key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = cut_lineage(members.join(shared, "key").select("key", "h", "first", "band"))
-    links = multimatch.linked_in_lists(known, key_lists(members.where(F.col("band") < first).drop("band"), None), words, percent, named_by)
-    groups = cut_lineage(components(links))
-    more = multimatch.linked_in_lists(known, key_lists(members.where(F.col("band") >= first).drop("band"), groups), words, percent, named_by)
-    if not more.isEmpty():
-        groups = components(links.unionByName(more))
+    for turn in (F.col("band") < first, F.col("band") >= first):
+        more = multimatch.linked_in_lists(known, key_lists(members.where(turn).drop("band"), groups), words, percent, named_by)
+        if not more.isEmpty():
+            found = found.unionByName(more)
+            groups = cut_lineage(components(found))
     found = named.select("h", "first", "rows").join(groups.withColumnRenamed("node", "h"), "h", "left").where("rows > 1 or component is not null")
     found = cut_lineage(found.withColumn("component", F.coalesce("component", "h")))
     keep = found.groupBy("component").agg(F.min(F.struct("first", "h")).alias("k"))

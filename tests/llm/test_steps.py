@@ -1,6 +1,6 @@
 """The named steps stand behind the results, and workers give back what they no longer use."""
 
-from millrace.llm import licenses
+from millrace.llm import licenses, simhash
 
 
 def test_the_ranking_by_compression_names_licenses(monkeypatch):
@@ -18,3 +18,22 @@ def test_a_low_rank_loses_no_wording(monkeypatch):
     monkeypatch.setattr(tool, "ranked", lambda data: plain(data)[::-1])
     text = "Released under the ISC License. Licensed under the BSD 3-Clause License."
     assert [tool.templates[n][0] for _, _, n, *_ in tool.confirmed(text)] == ["ISC", "BSD-3-Clause"]
+
+
+def test_near_copies_come_through_fingerprints(spark):
+    words = [f"w{n * 7919 % 10007}" for n in range(400)]
+    edited = [*words[:200], "changed", *words[201:]]
+    other = [f"v{n * 7919 % 10007}" for n in range(400)]
+    df = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate((words, edited, other))], "doc_id long, text string")
+    texts = [r.text for r in df.orderBy("doc_id").collect()]
+    one, two = (simhash.shingle_bits(t, simhash.SHINGLE, simhash.SEED) for t in texts[:2])
+    assert bin((one ^ two) % (1 << 64)).count("1") <= 4
+    assert not set(simhash.band_keys(texts[0], 5, 1, 2000)) & set(simhash.band_keys(texts[1], 5, 1, 2000))
+    found = simhash.near_copies(df, bands=1, rows=2000, first=1).select("doc_id", "kept_id").collect()
+    assert sorted(map(tuple, found)) == [(0, 0), (1, 0)]
+
+
+def test_texts_of_no_group_are_not_one_group(spark):
+    members = spark.createDataFrame([(b"one", 1), (b"two", 1)], "h binary, key long").selectExpr("h", "named_struct('doc_id', 1L, 'h', h) first", "key")
+    groups = spark.createDataFrame([(b"other", b"other")], "node binary, component binary")
+    assert {(bytes(r.sig), r.part) for r in simhash.key_lists(members, groups).collect()} == {(b"one", -1), (b"two", -1)}
