@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -22,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from millrace.llm.batches import map_batches
+from millrace.llm.batches import kept, map_batches
 
 #: Below this code point the split pattern means the same in every Unicode version.
 STABLE = 0x530
@@ -233,10 +232,9 @@ class Codec:
         return self.blob[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1])].tobytes()
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     """One codec per worker and file."""
-    return Codec(path)
+    return kept(path, lambda: Codec(path))
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

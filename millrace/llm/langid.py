@@ -16,7 +16,6 @@ Repeated rows are judged alike. With nothing to learn from every text is
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 from math import log2
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from millrace.llm.batches import bounded, pieces
+from millrace.llm.batches import bounded, kept, pieces, release
 
 UNKNOWN = "und"
 #: Symbols of a text that are parsed in one go; every text is cut alike.
@@ -205,9 +204,9 @@ class Automata:
         return langs, scores, costs
 
 
-@lru_cache(maxsize=2)
 def automata(samples: Samples) -> Automata:
-    return Automata(samples)
+    """One set of automata per worker."""
+    return kept(samples, lambda: Automata(samples))
 
 
 def predict(df: DataFrame, samples: Samples, text_col: str = "text") -> DataFrame:
@@ -216,10 +215,10 @@ def predict(df: DataFrame, samples: Samples, text_col: str = "text") -> DataFram
     Columns of ``df`` with one of these names are replaced.
     """
     added = [("lang_pred", StringType()), ("score", DoubleType()), ("bits", DoubleType())]
-    kept = [c for c in df.columns if c not in dict(added)]
-    source = df if text_col in kept else df.withColumn("__text", F.col(text_col))
-    text_at = text_col if text_col in kept else "__text"
-    schema = StructType([df.schema[c] for c in kept])
+    stays = [c for c in df.columns if c not in dict(added)]
+    source = df if text_col in stays else df.withColumn("__text", F.col(text_col))
+    text_at = text_col if text_col in stays else "__text"
+    schema = StructType([df.schema[c] for c in stays])
     for name, kind in added:
         schema = schema.add(name, kind)
 
@@ -227,9 +226,9 @@ def predict(df: DataFrame, samples: Samples, text_col: str = "text") -> DataFram
         for batch in batches:
             tool = automata(samples)
             made = tool.judge(batch.column(text_at).to_pylist())
-            columns = [batch.column(c) for c in kept]
+            columns = [batch.column(c) for c in stays]
             columns += [pa.array(made[0], pa.string()), pa.array(made[1], pa.float64()), pa.array(made[2], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *dict(added)])
-        pa.default_memory_pool().release_unused()  # the worker lives on
+            yield pa.RecordBatch.from_arrays(columns, names=[*stays, *dict(added)])
+        release()
 
     return bounded(source).mapInArrow(run, schema)

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from millrace.llm.batches import bounded, map_batches
+from millrace.llm.batches import bounded, map_batches, release
 from millrace.llm.graph import components
 from millrace.llm.phrases import BASE, mixed
 from millrace.session import cut_lineage
@@ -331,7 +331,7 @@ def linked_in_lists(
             found = groups.links()
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([sigs[p[n]] for p in found], pa.binary()) for n in (0, 1)], names=["a", "b"])
-        pa.default_memory_pool().release_unused()  # the worker lives on
+        release()
 
     return cut_lineage(bounded(ordered).mapInArrow(run, "a binary, b binary"))
 
@@ -468,7 +468,7 @@ def matched(entries: DataFrame, percent: int) -> DataFrame:
                 held, known, passed_on = held[:0], known[:0], True
         if len(held):
             yield from _lists(held, known, np.zeros(1, np.int64), percent)
-        pa.default_memory_pool().release_unused()
+        release()
 
     # Pairs have no size; entries of lists that are too long for one task come out as they are.
     found = cut_lineage(ordered.mapInArrow(whole, StructType.fromDDL(SHUFFLED)))

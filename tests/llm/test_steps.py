@@ -1,6 +1,6 @@
 """The named steps stand behind the results, and workers give back what they no longer use."""
 
-from millrace.llm import licenses, simhash
+from millrace.llm import batches, licenses, simhash
 
 
 def test_the_ranking_by_compression_names_licenses(monkeypatch):
@@ -37,3 +37,15 @@ def test_texts_of_no_group_are_not_one_group(spark):
     members = spark.createDataFrame([(b"one", 1), (b"two", 1)], "h binary, key long").selectExpr("h", "named_struct('doc_id', 1L, 'h', h) first", "key")
     groups = spark.createDataFrame([(b"other", b"other")], "node binary, component binary")
     assert {(bytes(r.sig), r.part) for r in simhash.key_lists(members, groups).collect()} == {(b"one", -1), (b"two", -1)}
+
+
+def test_a_worker_keeps_one_table_and_only_while_it_is_used():
+    made = []
+    make = lambda name: lambda: made.append(name) or name
+    assert [batches.kept(n, make(n)) for n in ("a", "a")] == ["a", "a"] and made == ["a"]
+    batches.release()
+    assert batches.kept("a", make("a")) == "a" and made == ["a"]  # used by the task before
+    assert batches.kept("b", make("b")) == "b" and list(batches._kept) == ["b"]
+    batches.release()
+    batches.release()  # a task of another operator
+    assert not batches._kept
