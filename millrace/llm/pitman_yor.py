@@ -22,10 +22,11 @@ are not learned. An empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from millrace.llm.batches import bounded, map_batches, pieces
+from millrace.llm.batches import bounded, map_batches, pieces, release
 from millrace.llm.substrings import staged
 
 ORDER = 5  # bytes of context
@@ -77,9 +78,15 @@ def grams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return keys[own[ORDER:]], np.cumsum(sizes) - sizes
 
 
-def hashes(words: list[bytes]) -> np.ndarray:
+def places(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Place of each of ``keys`` in the ascending ``table``; each distinct one is looked up once, in order."""
+    distinct, at = np.unique(keys, return_inverse=True)
+    return np.searchsorted(table, distinct)[at]
+
+
+def hashes(words: Collection[bytes]) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(w) for w in words], np.uint64).view(np.int64)
+    return np.fromiter(map(digest, words), np.uint64, len(words)).view(np.int64)
 
 
 def counts(df: DataFrame) -> DataFrame:
@@ -328,7 +335,7 @@ def score(df: DataFrame, model: Model) -> DataFrame:
                 for a, b in pieces(some, STEP):
                     split = [tokens(t) for t in some[a:b]]
                     found.add(grams(split)[0])
-                    words.add(hashes([w for s in split for w in s]))
+                    words.add(hashes({w for s in split for w in s}))
             if sum(len(t) for both in held.values() for t in both) > MOST_HELD:
                 yield from ask(held)
                 held = {}
@@ -361,21 +368,18 @@ def score(df: DataFrame, model: Model) -> DataFrame:
             keys, first = np.unique(keys, return_index=True)
             tables.append((keys, values[first]))
         (keys, chances), (words_known, word_counts) = tables
-        logs = chances / -PARTS
+        logs, words_known = chances / -PARTS, pd.Index(words_known)
         read = zstandard.ZstdDecompressor().decompress
         rows = [read(z.as_py()) for z in left.column("z")]
         out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
         for a, b in pieces(rows, STEP):
             split = [tokens(t) for t in rows[a:b]]
             found, begin = grams(split)
-            out["score"] += np.add.reduceat(logs[np.searchsorted(keys, found)], begin).tolist()
+            out["score"] += np.add.reduceat(logs[places(keys, found)], begin).tolist()
             sizes = np.array([len(s) for s in split])
             asked_words = hashes([w for s in split for w in s])
-            if len(words_known):
-                at = np.minimum(np.searchsorted(words_known, asked_words), len(words_known) - 1)
-                seen = np.where(words_known[at] == asked_words, word_counts[at], 0.0)
-            else:
-                seen = np.zeros(len(asked_words))
+            at = words_known.get_indexer(asked_words)
+            seen = np.where(at >= 0, word_counts[at], 0.0) if len(words_known) else np.zeros(len(at))
             of = np.repeat(np.arange(len(split)), sizes)
             base = np.bincount(of, np.log10((seen + 1) / floor), len(split)) + np.log10((learned + 1) / floor)
             out["base_score"] += base.tolist()
@@ -383,7 +387,7 @@ def score(df: DataFrame, model: Model) -> DataFrame:
             out["n_tokens"] += (sizes + 1).tolist()
         columns = [left.column("doc_id"), left.column("held_out"), pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_known"], pa.int64())]
         columns += [pa.array([size] * len(rows), pa.int64()), pa.array(out["base_score"]), pa.array(out["score"])]
-        pa.default_memory_pool().release_unused()
+        release()
         return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return texts.groupBy("chunk").cogroup(fetched.groupBy("chunk")).applyInArrow(judge, schema)

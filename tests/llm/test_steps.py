@@ -1,6 +1,8 @@
 """The named steps stand behind the results, and workers give back what they no longer use."""
 
-from millrace.llm import batches, licenses, simhash
+import numpy as np
+
+from millrace.llm import batches, licenses, pitman_yor, simhash
 
 
 def test_the_ranking_by_compression_names_licenses(monkeypatch):
@@ -49,3 +51,13 @@ def test_a_worker_keeps_one_table_and_only_while_it_is_used():
     batches.release()
     batches.release()  # a task of another operator
     assert not batches._kept
+
+
+def test_places_are_looked_up_once_for_each_distinct_key(monkeypatch):
+    rng = np.random.default_rng(1)
+    table = np.unique(rng.integers(0, 1 << 48, 5000))
+    keys = rng.choice(table[:300], 20_000)
+    expected, asked, plain = np.searchsorted(table, keys), [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v: asked.append(v) or plain(a, v))
+    assert (pitman_yor.places(table, keys) == expected).all()
+    assert len(asked[0]) <= 300 and (np.diff(asked[0]) > 0).all()
