@@ -2,41 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from millrace.session import cut_lineage
 
 
-def _oriented(edges: DataFrame) -> DataFrame:
-    return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-    return tuple(row)
+def _cut(edges: DataFrame, what: str) -> tuple[DataFrame, bool]:
+    """The edges (a, b), checkpointed, and whether ``what`` holds for any row; the same job tells."""
+    seen = Observation()
+    cut = cut_lineage(edges.observe(seen, F.count_if(F.expr(what)).alias("n")))
+    return cut.select("a", "b"), bool(seen.get["n"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): each linked node with the smallest node it reaches.
 
     ``edges`` has two columns of one orderable type, named a and b; loops and
-    repeats are allowed, nulls are dropped, no links give no rows. Every round
-    ends in a checkpoint, so a lost executor never reaches back beyond it.
+    repeats are allowed, nulls are dropped, no links give no rows. A round takes
+    two shuffles, one for each star, and ends in a checkpoint, so a lost executor
+    never reaches back beyond it. The last round moves no edge.
     """
-    edges = cut_lineage(_oriented(edges.where("a is not null and b is not null")))
-    before = _state(edges)
-    while before[0]:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = _oriented(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut_lineage(_oriented(small.unionByName(least.select("a", F.col("m").alias("b")))))
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
+    ends = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges, moved = _cut(ends.distinct(), "true")
+    by_node = Window.partitionBy("a")
+    while moved:
+        # All links of a node go to its smallest neighbour, or to itself if it is smaller.
+        both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+        large = both.withColumn("m", F.least(F.min("b").over(by_node), "a")).where("b > a")
+        large = large.select(F.col("b").alias("a"), F.col("m").alias("b"), (F.col("m") < F.col("a")).alias("moved"))
+        # Then a node keeps its smallest neighbour, and its other smaller ones are linked to that.
+        once = large.repartition("a").groupBy("a", "b").agg(F.max("moved").alias("moved"))
+        small = once.withColumn("m", F.min("b").over(by_node)).withColumn("other", F.col("b") > F.col("m"))
+        node = F.when(F.col("other"), F.col("b")).otherwise(F.col("a"))
+        edges, moved = _cut(small.select(node.alias("a"), F.col("m").alias("b"), "moved", "other"), "moved or other")
     linked = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return linked.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

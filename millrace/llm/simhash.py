@@ -249,6 +249,7 @@ def key_lists(members: DataFrame, groups: DataFrame | None) -> DataFrame:
         named = named.select("h", "first", "key", part.alias("part"))
     own = F.when(F.col("part") == -1, F.xxhash64("h")).otherwise(F.col("part"))
     sums = [F.sum(F.xxhash64("h") % 1_000_000_007).alias("s"), F.bit_xor(F.xxhash64("h")).alias("x")]
+    named = named.repartition("key")  # one shuffle for the sums and for the rows
     lists = named.groupBy("key").agg(F.count("*").alias("n"), F.min(own).alias("low"), F.max(own).alias("high"), *sums)
     once = lists.where((F.col("n") > 1) & (F.col("low") != F.col("high"))).groupBy("n", "s", "x").agg(F.min("key").alias("key"))
     sized = once.select("key", F.ceil(F.col("n") / multimatch.BLOCK).cast("int").alias("blocks"))

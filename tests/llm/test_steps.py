@@ -1,8 +1,11 @@
 """The named steps stand behind the results, and workers give back what they no longer use."""
 
+import random
+
 import numpy as np
+import pytest
 
-from millrace.llm import batches, licenses, pitman_yor, simhash
+from millrace.llm import batches, graph, licenses, pitman_yor, simhash
 
 
 def test_the_ranking_by_compression_names_licenses(monkeypatch):
@@ -61,3 +64,48 @@ def test_places_are_looked_up_once_for_each_distinct_key(monkeypatch):
     monkeypatch.setattr(np, "searchsorted", lambda a, v: asked.append(v) or plain(a, v))
     assert (pitman_yor.places(table, keys) == expected).all()
     assert len(asked[0]) <= 300 and (np.diff(asked[0]) > 0).all()
+
+
+@pytest.mark.parametrize("kind", ["long", "binary"])
+def test_components_equal_the_model(spark, kind):
+    rng = random.Random(2)
+    ends = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)]
+    pairs = [*ends, *ends[:50], (7, 7), (401, 401), (None, 2), (402, None), *((500, 501 + n) for n in range(40)), *((700, 699 - n) for n in range(40))]
+    group: dict[int, int] = {}
+    for a, b in pairs:
+        if a is not None and b is not None and a != b:
+            old, new = sorted((group.setdefault(a, a), group.setdefault(b, b)), reverse=True)
+            group |= {n: new for n, g in group.items() if g == old}
+    as_kind = lambda n: n if n is None or kind == "long" else n.to_bytes(2, "big")
+    edges = spark.createDataFrame([tuple(map(as_kind, p)) for p in pairs], f"a {kind}, b {kind}")
+    found = sorted((r.node, r.component) for r in graph.components(edges).collect())
+    assert found == sorted((as_kind(n), as_kind(g)) for n, g in group.items())
+    assert graph.components(edges.where("a is null")).count() == 0
+
+
+def stages_run(spark, work):
+    """How many stages ran while ``work`` did."""
+    context, name = spark.sparkContext, f"stages {random.random()}"
+    context.setLocalProperty("spark.jobGroup.id", name)
+    try:
+        work()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds}
+    return sum(tracker.getStageInfo(s).numCompletedTasks > 0 for s in stages)
+
+
+def test_a_round_of_components_runs_three_stages(spark, monkeypatch):
+    edges = spark.createDataFrame([(n, n + 1) for n in range(200)], "a long, b long")
+    cuts, plain = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: cuts.append(df) or plain(df))
+    run = stages_run(spark, lambda: graph.components(edges).collect())
+    rounds = len(cuts) - 1
+    assert rounds > 2 and run <= 3 * rounds + 6
+
+
+def test_rows_of_lists_are_shuffled_once(spark):
+    members = spark.range(100).selectExpr("cast(cast(id as string) as binary) h", "id % 20 key")
+    members = members.selectExpr("h", "named_struct('doc_id', 1L, 'h', h) first", "key").repartition("h")
+    assert stages_run(spark, lambda: simhash.key_lists(members, None)) <= 5
