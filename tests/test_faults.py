@@ -121,3 +121,28 @@ def test_bucket_count_is_kept(spark, tmp_path):
     assert all(again.lookup(f"{i:04d}", "Name").count() == 1 for i in range(0, 20, 7)) and again.buckets == 4
     with pytest.raises(ValueError, match="4 buckets"):
         SnapshotTable(spark, path, MEMBERS.schema, keys, 8).head()
+
+
+def versions(path):
+    return {(int(f.parent.name[4:]), int(f.name[7:])) for f in path.glob("data/ver=*/bucket=*")}
+
+
+def test_buckets_no_head_names_are_dropped_where_asked(spark, tmp_path):
+    """Each commit once left a copy of all it rewrote."""
+    make = lambda name, drop: SnapshotTable(spark, str(tmp_path / name), rows(0).schema, ("k",), buckets=4, drop_old=drop)
+    rows = lambda n: spark.range(40).selectExpr("id as k", f"{n} as n")
+    kept, dropped = make("kept", False), make("dropped", True)
+    for table in (kept, dropped):
+        table.commit(rows(0), "w", 0)
+        one = table.read().where(table.bucket() == 1)
+        seen = [table.commit(one.selectExpr("k", f"{n} as n"), "w", n, rewritten={1}) for n in (1, 2)]
+        assert {r.n for r in table.read(seen[0], {1}).collect()} == {1}  # readers on the head before lose nothing
+        table.commit(rows(3), "w", 3)
+        table.write_version(rows(9), 4)  # a try that never became a version
+        assert table.read().where("n = 3").count() == 40
+        assert {r.n for r in table.read(seen[1]).collect()} == {0, 2}
+    assert {v for v, _ in versions(tmp_path / "kept")} == {0, 1, 2, 3, 4}
+    assert versions(tmp_path / "dropped") == {(0, 0), (0, 2), (0, 3), (2, 1), *((v, b) for v in (3, 4) for b in range(4))}
+    dropped.commit(rows(4), "w", 4)
+    assert versions(tmp_path / "dropped") == {(v, b) for v in (3, 4) for b in range(4)}
+    assert dropped.read().where("n = 4").count() == 40

@@ -1,5 +1,6 @@
 """Topics kept as folders, polled tables, and reconciliation with timers."""
 
+import gzip
 import json
 from datetime import datetime, timedelta
 
@@ -149,3 +150,29 @@ def test_own_session_keeps_its_settings_to_itself(spark):
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
     assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") != "false"
     spark.conf.unset("millrace.test")
+
+
+def test_compressed_topic_reads_as_the_plain_one_in_bounded_files(spark, tmp_path):
+    messages = [(i, T0 + timedelta(seconds=i), f"k{i % 5}", None if i % 7 == 0 else json.dumps({"i": i, "q": "x" * 200})) for i in range(400)]
+    frame = spark.createDataFrame(messages, "offset long, timestamp timestamp, key string, value string")
+    plain, packed = str(tmp_path / "plain"), str(tmp_path / "packed")
+    write_topic(frame, plain, partitions=3)
+    write_topic(frame, packed, partitions=3, compression="gzip", rows_per_file=20)
+    files = [f for f in (tmp_path / "packed").rglob("part-*") if f.is_file()]
+    assert files and all(f.name.endswith(".txt.gz") for f in files)
+    assert max(len(gzip.decompress(f.read_bytes()).splitlines()) for f in files) <= 20
+    size = lambda top: sum(f.stat().st_size for f in (tmp_path / top).rglob("part-*"))
+    assert size("packed") * 2 < size("plain")
+    want = sorted(map(str, read_topic(spark, plain).collect()))
+    assert sorted(map(str, read_topic(spark, packed).collect())) == want
+    got = []
+    finish(start(change_stream(spark, FeedConfig(topic_path=packed)), collected(got), str(tmp_path / "cp"), interval=None))
+    assert sum(len(b) for _, b in got) == 400
+
+
+def test_a_line_is_parsed_once_where_rows_without_a_value_go(spark, tmp_path):
+    frame = spark.createDataFrame([(1, T0, "k", "{}"), (2, T0, "k", None)], "offset long, timestamp timestamp, key string, value string")
+    write_topic(frame, str(tmp_path / "topic"))
+    found = envelope.drop_tombstones(read_topic(spark, str(tmp_path / "topic")))
+    assert [(r.offset, r.value) for r in found.collect()] == [(1, "{}")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
