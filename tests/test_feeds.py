@@ -60,3 +60,7 @@ def test_customers_of_a_topic_in_bounded_parts(spark, folder, tmp_path, monkeypa
 
 def test_four_tables_of_a_topic_in_bounded_parts(spark, folder, tmp_path, monkeypatch):
     held_little(run(spark, folder, tmp_path, monkeypatch, "stream_all"), ["accounts", "customers", "members"])
+
+
+def test_accounts_of_a_topic_in_bounded_parts(spark, folder, tmp_path, monkeypatch):
+    held_little(run(spark, folder, tmp_path, monkeypatch, "stream_accounts"), ["accounts"])
